@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillstone.llm import bpe, mixing
+from quillstone.llm import bpe, formats, mixing, parse
 from quillstone.sources.tables import table
 
 
@@ -29,5 +29,43 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.fair_mix(sized, targets), sized, targets)
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
+def _checked(spark: SparkSession, d: str, all_rows: bool) -> DataFrame:
+    files = parse.check_files(table(spark, d, "mining_tasks"), "mining_tasks", "task_id", "base_uid", "nb_json", "path", all_rows)
+    return files.unionByName(parse.check_files(table(spark, d, "autodoc_results"), "autodoc_results", "rec_id", "uid", "code", None, all_rows))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return parse.once(_checked(spark, d, False)).select("tbl", "row_id")
+
+
+def p5_errors(spark: SparkSession, d: str) -> DataFrame:
+    """All errors of each broken file with the first cause."""
+    return parse.once(_checked(spark, d, False))
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Broken files per owner and language."""
+    return parse.rates(_checked(spark, d, True))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    members, _ = formats.copy_groups(table(spark, d, "autodoc_results", "rec_id", "code"), "rec_id", "code")
+    return members.filter(F.col("rec_id") != F.col("first_id")).select("first_id", F.col("rec_id").alias("copy_id"))
+
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One record of each group of copies with the size of the group."""
+    return formats.copy_groups(table(spark, d, "autodoc_results", "rec_id", "code"), "rec_id", "code")[1]
+
+
+QUERIES = {
+    "p5_found": p5_found,
+    "p5_errors": p5_errors,
+    "p5_rates": p5_rates,
+    "p7_found": p7_found,
+    "p7_groups": p7_groups,
+    "p8_ids": p8_ids,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
+}
 ORACLE: dict[str, str] = {}
