@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillstone.llm import bpe, formats, mixing, parse
+from quillstone.llm import bpe, formats, languages, leaks, mixing, parse
 from quillstone.sources.tables import table
 
 
@@ -29,6 +29,23 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.fair_mix(sized, targets), sized, targets)
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    corpora = [
+        ("documents", table(spark, d, "documents", "doc_id", "text"), "doc_id", "text"),
+        ("autodoc_results", table(spark, d, "autodoc_results", "rec_id", "code"), "rec_id", "code"),
+    ]
+    return leaks.matches(spark, corpora, table(spark, d, "inspection_items", "item_id", "intent", "ground_truth"), "item_id", ["intent", "ground_truth"])
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.exact_leaks(_leaks(spark, d))
+
+
+def p3_templates(spark: SparkSession, d: str) -> DataFrame:
+    """Leaks word by word and re-parameterised ones, with the number of windows."""
+    return leaks.template_leaks(_leaks(spark, d))
+
+
 def _checked(spark: SparkSession, d: str, all_rows: bool) -> DataFrame:
     files = parse.check_files(table(spark, d, "mining_tasks"), "mining_tasks", "task_id", "base_uid", "nb_json", "path", all_rows)
     return files.unionByName(parse.check_files(table(spark, d, "autodoc_results"), "autodoc_results", "rec_id", "uid", "code", None, all_rows))
@@ -58,7 +75,23 @@ def p7_groups(spark: SparkSession, d: str) -> DataFrame:
     return formats.copy_groups(table(spark, d, "autodoc_results", "rec_id", "code"), "rec_id", "code")[1]
 
 
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents", "doc_id", "text", "lang")
+    return languages.identify(docs, languages.fit(languages.labelled_sample(docs, "text", "lang", "doc_id")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return languages.wrong_labels(_segments(spark, d)).select("doc_id", "seg_no", "lang")
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Language and confidence of every segment of every document."""
+    return _segments(spark, d)
+
+
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_templates": p3_templates,
     "p5_found": p5_found,
     "p5_errors": p5_errors,
     "p5_rates": p5_rates,
@@ -67,5 +100,7 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_segments": p10_segments,
 }
 ORACLE: dict[str, str] = {}
