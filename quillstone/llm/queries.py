@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillstone.llm import bpe, formats, languages, leaks, mixing, parse
+from quillstone.llm import bpe, formats, languages, leaks, mixing, neardup, parse
 from quillstone.sources.tables import table
 
 
@@ -65,6 +65,24 @@ def p5_rates(spark: SparkSession, d: str) -> DataFrame:
     return parse.rates(_checked(spark, d, True))
 
 
+def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return neardup.near_duplicates(
+        [
+            neardup.run_sets(table(spark, d, "autodoc_results", "rec_id", "code"), "autodoc_results", "rec_id", "code"),
+            neardup.run_sets(table(spark, d, "mining_tasks", "task_id", "nb_json"), "mining_tasks", "task_id", "nb_json"),
+        ]
+    )
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.pairs_of(*_near(spark, d))
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Class, group and number of links of every record that is like another."""
+    return neardup.groups_of(*_near(spark, d))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     members, _ = formats.copy_groups(table(spark, d, "autodoc_results", "rec_id", "code"), "rec_id", "code")
     return members.filter(F.col("rec_id") != F.col("first_id")).select("first_id", F.col("rec_id").alias("copy_id"))
@@ -95,6 +113,8 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_errors": p5_errors,
     "p5_rates": p5_rates,
+    "p6_found": p6_found,
+    "p6_groups": p6_groups,
     "p7_found": p7_found,
     "p7_groups": p7_groups,
     "p8_ids": p8_ids,
