@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillstone.llm import bpe, formats, languages, leaks, mixing, neardup, parse
+from quillstone.llm import answers, bpe, formats, languages, leaks, mixing, neardup, parse
 from quillstone.sources.tables import table
 
 
@@ -29,6 +29,19 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.fair_mix(sized, targets), sized, targets)
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return answers.defects(answers.judged(table(spark, d, "autodoc_results"), answers.LISTS[:2]))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return answers.cut_values(answers.judged(table(spark, d, "autodoc_results"), answers.LISTS))
+
+
+def p4_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source cuts each field, and at which lengths."""
+    return answers.cut_rates(answers.judged(table(spark, d, "autodoc_results"), answers.LISTS))
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     corpora = [
         ("documents", table(spark, d, "documents", "doc_id", "text"), "doc_id", "text"),
@@ -108,8 +121,11 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
     "p3_found": p3_found,
     "p3_templates": p3_templates,
+    "p4_found": p4_found,
+    "p4_rates": p4_rates,
     "p5_found": p5_found,
     "p5_errors": p5_errors,
     "p5_rates": p5_rates,
