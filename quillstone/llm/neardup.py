@@ -2,13 +2,14 @@
 
 A record is the set of its runs of three words. Records fall into bands of sizes; the scheme of a band hashes the
 universe of runs into M segments. Two sets of Jaccard J >= 7/10 differ in at most H runs, H following from their sizes,
-so if a probe allots levels to segments that add up to H + 1, some segment of level 1 is equal in both, or one of level
-2 differs by at most one run. The index holds every segment that is not empty and, in every DELETE-th segment, its
-one-deletion neighbours; a probe takes the H + 1 cheapest units, where the cost of a unit is the estimated number of
-records it meets. Candidates are verified on their whole sets.
-
-Units dearer than a limit are neither indexed nor probed, so that no key is hot. Records that can't reach H + 1 without
-them (few; all their runs are frequent) go an exact way of their own: some run among their rarest must be shared.
+so if a probe allots levels to segments that add up to H + c, the levels less the differences of their segments add up
+to c or more: an equal segment of level 1 gives 1, one of level 2 gives 2 if equal and 1 if it differs by one run. The
+index holds every segment that is not empty and, in every DELETE-th segment, its one-deletion neighbours; a probe takes
+the H + c cheapest units, where the cost of a unit is the estimated number of records it meets. Pairs that gather c are
+verified on their whole sets.
+
+c is 1 and more where a probe has more cheap units. Units dearer than a limit are neither indexed nor probed, so that
+no key is hot. Records that can't reach H + 1 without them (few; all their runs are frequent) go an exact way of their own: some run among their rarest must be shared.
 """
 
 from __future__ import annotations
@@ -19,18 +20,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillstone.session import materialize
 
 #: Similarity NUM / DEN; words of a run; every how many segments have deletion neighbours.
 NUM, DEN, RUN, DELETE = 7, 10, 3, 8
+#: For every so many runs of H a probe may take one more unit, if it is cheap, for which a pair must gather one more.
+#: Cheap is up to CHEAP and twice the noise of the sketch.
+SPARE, CHEAP = 6, 1_000
 #: Buckets of the frequency sketch (bounded whatever the data), and the dearest unit, at least.
-BUCKETS, DEAREST = 1 << 20, 2_000
+BUCKETS, DEAREST = 1 << 18, 20_000
+#: Bound on ids or runs that are sent to every task.
+MAX_IDS = 500_000
 #: Classes of equal sets larger than this are linked to their first record instead of pair by pair.
 EXPAND = 500
 #: Bits of a key; equal keys of different segments only add candidates.
-KEY_BITS = 44
+KEY_BITS = 40
 KEEP = 300_000
 
 _WORD = re.compile(r"\w+")
@@ -97,11 +103,14 @@ class Runs:
         return text[new], h[new]
 
 
-SETS = "tbl string, row_id long, h1 long, h2 long, runs array<long>"
+SETS = "tbl string, row_id long, h1 long, h2 long, parity array<long>, runs array<long>"
+#: Words of 64 bits of the parity sketch of a set: bits that its runs flip. Two sets differ in at least as many runs as
+#: their sketches in bits.
+PARITY = 4
 
 
 def run_sets(df: DataFrame, tbl: str, id_col: str, text_col: str) -> DataFrame:
-    """The set of runs of each text (SETS) with two hashes of it; texts of fewer than three words have none."""
+    """The set of runs of each text (SETS) with two hashes and the parity sketch of it; texts of fewer than three words have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = Runs()
@@ -114,14 +123,19 @@ def run_sets(df: DataFrame, tbl: str, id_col: str, text_col: str) -> DataFrame:
             at, start, size = np.unique(text, return_index=True, return_counts=True)
             h1 = mix(np.add.reduceat(h, start) + size.astype(_U)) if len(at) else h
             h2 = mix(np.add.reduceat(mix(h ^ _P1), start)) if len(at) else h
+            bits = np.zeros((len(at), PARITY), _U)
+            bit = _U(1) << (h >> _U(8) & _U(63))
+            for k in range(PARITY if len(at) else 0):
+                bits[:, k] = np.bitwise_xor.reduceat(np.where(h % _U(PARITY) == k, bit, _U(0)), start)
+            parity = pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size + 1, PARITY, dtype=np.int32)), pa.array(bits.ravel().view(np.int64)))
             lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(h)), pa.int32()), pa.array(h.view(np.int64)))
-            yield pa.record_batch([pa.array([tbl] * len(at), pa.string()), pa.array(ids[at]), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists], names=["tbl", "row_id", "h1", "h2", "runs"])
+            yield pa.record_batch([pa.array([tbl] * len(at), pa.string()), pa.array(ids[at]), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), parity, lists], names=["tbl", "row_id", "h1", "h2", "parity", "runs"])
 
     return df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(run, SETS)
 
 
-def units(rec: np.ndarray, size: np.ndarray, run: np.ndarray, freq: np.ndarray, salt: np.ndarray, dearest: int) -> tuple[dict, dict, np.ndarray]:
-    """Index rows, probe rows (key, record) and the records that can't be probed, of records given as flat runs.
+def units(rec: np.ndarray, size: np.ndarray, run: np.ndarray, freq: np.ndarray, salt: np.ndarray, dearest: int, spare: float) -> tuple[dict, dict, np.ndarray]:
+    """Index rows, probe rows (key, record; weight, need) and the records that can't be probed, of records given as flat runs.
 
     rec: record number of each run (sorted); size: sizes by record; salt: 64 bits by record that keep tables apart.
     """
@@ -174,7 +188,7 @@ def units(rec: np.ndarray, size: np.ndarray, run: np.ndarray, freq: np.ndarray,
         "rec": np.concatenate([inst_rec[g_inst[i1]], inst_rec[g_inst[d_group[i2]]]]),
     }
 
-    # the cheapest H + 1 units of each instance
+    # the cheapest H + c units of each instance
     biggest = np.minimum(hi[inst_band], n)
     smallest = np.maximum(lo[inst_band], least[inst_rec])
     differ = most_different(n + biggest)
@@ -186,19 +200,24 @@ def units(rec: np.ndarray, size: np.ndarray, run: np.ndarray, freq: np.ndarray,
     u_level = np.concatenate([np.ones(int((cheapest <= dearest).sum()), np.int64), np.full(len(two), 2)])
     u_cost = np.concatenate([cheapest[cheapest <= dearest], (count[two] - 1) * cheapest[two] + second[two] + cheapest[two]])
     o = np.lexsort((u_group, u_level, u_cost, g_inst[u_group]))
-    u_group, u_level = u_group[o], u_level[o]
+    u_group, u_level, u_cost = u_group[o], u_level[o], u_cost[o]
     u_inst = g_inst[u_group]
     rank = np.arange(len(u_inst)) - np.searchsorted(u_inst, u_inst)
     have = np.bincount(u_inst, minlength=len(inst_rec))
     hard = np.unique(inst_rec[have < differ + 1])
-    take = rank <= differ[u_inst]
+    cheap = np.bincount(u_inst, weights=u_cost <= spare, minlength=len(inst_rec)).astype(np.int64)
+    need = np.clip(np.minimum(1 + differ // SPARE, cheap - differ), 1, 100)  # one is always taken
+    take = rank < (differ + need)[u_inst]
     p1 = u_group[take & (u_level == 1)]
     p2 = np.zeros(len(start), bool)
     p2[u_group[take & (u_level == 2)]] = True
-    p2_groups, p2_runs = np.nonzero(p2)[0], p2[d_group]
+    p2_groups, p2_runs = np.nonzero(p2)[0], np.nonzero(p2[d_group])[0]
+    groups = np.concatenate([p1, p2_groups, d_group[p2_runs]])
     probe = {
         "key": np.concatenate([key(total[p1], p1, False), key(total[p2_groups], p2_groups, True), key(d_content[p2_runs], d_group[p2_runs], False)]),
-        "rec": np.concatenate([inst_rec[g_inst[p1]], inst_rec[g_inst[p2_groups]], inst_rec[g_inst[d_group[p2_runs]]]]),
+        "rec": inst_rec[g_inst[groups]],
+        "weight": np.concatenate([1 + p2[p1], np.ones(len(groups) - len(p1), np.int64)]),  # an equal segment of level 2 gives 2
+        "need": need[g_inst[groups]],
     }
     return index, probe, hard
 
@@ -207,24 +226,106 @@ def _salts(tables: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(t) for t in tables], _U)
 
 
-def signatures(classes: DataFrame, freq: np.ndarray, dearest: int) -> DataFrame:
-    """(kind, key, cls, size): kind 0 index, 1 probe, 2 a record to go the exact way."""
+SIGNATURES = "key long, cls long, meta long"
+INDEX, PROBE, HARD = 0, 1, 2
+
+
+def signatures(classes: DataFrame, freq: np.ndarray, dearest: int, spare: float) -> DataFrame:
+    """SIGNATURES: meta packs size, need (7 bits), weight (2 bits) and kind (2 bits).
+
+    The kind is INDEX, PROBE or HARD (a record to go the exact way).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = np.array(b.column("cls").to_numpy(zero_copy_only=False), np.int64)
+            ids, once = np.unique(ids, return_index=True)
+            b = b.take(pa.array(once))
             lists = b.column("runs")
             flat = np.array(lists.flatten().to_numpy(zero_copy_only=False), np.int64).view(_U)
             size = np.array(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)
             if not len(ids):
                 continue
-            index, probe, hard = units(np.repeat(np.arange(len(ids)), size), size, flat, freq, _salts(b.column("tbl").to_pylist()), dearest)
-            for kind, key, rec in ((0, index["key"], index["rec"]), (1, probe["key"], probe["rec"]), (2, np.zeros(len(hard), np.int64), hard)):
+            index, probe, hard = units(np.repeat(np.arange(len(ids)), size), size, flat, freq, _salts(b.column("tbl").to_pylist()), dearest, spare)
+            own = -1 - (mix(ids[hard].view(_U)) >> _U(64 - KEY_BITS)).view(np.int64)  # a key of its own keeps hard records spread
+            for key, rec, low in ((index["key"], index["rec"], np.full(len(index["rec"]), INDEX)), (probe["key"], probe["rec"], probe["need"] << 4 | probe["weight"] << 2 | PROBE), (own, hard, np.full(len(hard), HARD))):
+                meta = size[rec] << 11 | low
                 for i in range(0, len(rec), 200_000):
-                    r = rec[i : i + 200_000]
-                    yield pa.record_batch([pa.array(np.full(len(r), kind, np.int8)), pa.array(key[i : i + 200_000]), pa.array(ids[r]), pa.array(size[r].astype(np.int32))], names=["kind", "key", "cls", "size"])
+                    yield pa.record_batch([pa.array(x[i : i + 200_000]) for x in (key, ids[rec], meta)], names=["key", "cls", "meta"])
+
+    return classes.select("tbl", "cls", "runs").mapInArrow(run, SIGNATURES)
+
+
+def _gather(a: np.ndarray, b: np.ndarray, weight: np.ndarray, need: np.ndarray) -> list[np.ndarray]:
+    """Weights summed by pair."""
+    if not len(a):
+        return [a, b, weight, need]
+    o = np.lexsort((b, a))
+    a, b, weight, need = a[o], b[o], weight[o], need[o]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    at = np.nonzero(new)[0]
+    return [a[at], b[at], np.add.reduceat(weight, at), need[at]]
+
+
+def _meet(key: np.ndarray, cls: np.ndarray, meta: np.ndarray) -> list[np.ndarray]:
+    """(a, b, weight, need): records whose rows share a key, one of them probing a smaller or equal one; hard ones as (cls, cls)."""
+    o = np.lexsort((meta, cls, key))
+    key, cls, meta = key[o], cls[o], meta[o]
+    new = np.ones(len(key), bool)  # rows of a record that was delivered again
+    new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]) | (meta[1:] != meta[:-1])
+    key, cls, meta = key[new], cls[new], meta[new]
+    kind, size = meta & 3, meta >> 11
+    hard = cls[kind == HARD]
+    one = np.ones(len(hard), np.int64)
+    parts = [[hard, hard, one, one]]
+    p, i = np.nonzero(kind == PROBE)[0], np.nonzero(kind == INDEX)[0]
+    keys = key[i]  # sorted, as all are
+    first, last = np.searchsorted(keys, key[p], "left"), np.searchsorted(keys, key[p], "right")
+    n = last - first
+    edge = np.concatenate([[0], np.cumsum(n)])
+    at = 0
+    while at < len(p):  # in steps of a few million pairs
+        to = max(at + 1, int(np.searchsorted(edge, edge[at] + 2_000_000, "right")) - 1)
+        m = n[at:to]
+        r = np.repeat(p[at:to], m)
+        s = i[np.repeat(first[at:to], m) + np.arange(int(m.sum())) - np.repeat(edge[at:to] - edge[at], m)]
+        ok = (size[s] * DEN >= size[r] * NUM) & ((size[s] < size[r]) | (size[s] == size[r]) & (cls[s] < cls[r]))
+        r, s = r[ok], s[ok]
+        parts.append(_gather(np.minimum(cls[r], cls[s]), np.maximum(cls[r], cls[s]), meta[r] >> 2 & 3, meta[r] >> 4 & 127))
+        at = to
+    return [np.concatenate(x) for x in zip(*parts)]
+
+
+def meetings(sig: DataFrame) -> DataFrame:
+    """(a, b, weight, need): what meets in some key, summed per batch; (a, a) for a hard record.
+
+    One shuffle by key: every key lies in one task and has no more index rows than the limit of cost allows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.zeros(0, np.int64)] * 3
+
+        def out(cols):
+            return pa.record_batch([pa.array(x) for x in _meet(*cols)], names=["a", "b", "weight", "need"])
 
-    return classes.select("tbl", "cls", "runs").mapInArrow(run, "kind byte, key long, cls long, size int")
+        for b in batches:
+            cols = [np.concatenate([x, b.column(k).to_numpy(zero_copy_only=False)]) for k, x in enumerate(rest)]
+            if not len(cols[0]):
+                continue
+            cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))  # the last key may go on
+            if cut:
+                yield out([x[:cut] for x in cols])
+            rest = [x[cut:] for x in cols]
+        if len(rest[0]):
+            yield out(rest)
+
+    return sig.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, weight long, need long")
+
+
+def candidates(sig: DataFrame) -> DataFrame:
+    """(a, b): pairs that gather what they need over all keys; (a, a) for a hard record."""
+    return meetings(sig).groupBy("a", "b").agg(F.sum("weight").alias("weight"), F.max("need").alias("need")).filter("weight >= need").select("a", "b")
 
 
 def frequencies(classes: DataFrame) -> np.ndarray:
@@ -237,34 +338,48 @@ def frequencies(classes: DataFrame) -> np.ndarray:
 
 
 def classes_of(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(classes: tbl, cls, runs) of different sets, cls being the smallest row_id, and (members: tbl, cls, row_id).
+    """(classes: tbl, cls, h1, h2, parity, runs) of different sets, cls being the smallest row_id, and (members: tbl, cls, row_id).
 
-    cls is unique within a table only; tables are told apart by tbl, or by their sign where one id is needed.
+    Only hashes are shuffled to find the classes. Records that are not the first of theirs are then left out of a second
+    pass, which writes the sets; they are sent to every task while they are few, and else joined. A record that was
+    delivered again comes twice in classes; what follows takes it as one.
     """
-    members = sets.select("tbl", "row_id", "h1", "h2").dropDuplicates(["tbl", "h1", "h2", "row_id"])
-    firsts = sets.groupBy("tbl", "h1", "h2").agg(F.min_by(F.struct("row_id", "runs"), "row_id").alias("f")).select("tbl", "h1", "h2", F.col("f.row_id").alias("cls"), F.col("f.runs").alias("runs"))
+    w = Window.partitionBy("tbl", "h1", "h2")
+    ids = sets.select("tbl", "row_id", "h1", "h2").repartition("tbl", "h1", "h2").dropDuplicates(["tbl", "h1", "h2", "row_id"])
+    members = materialize(ids.select("tbl", F.min("row_id").over(w).alias("cls"), "row_id", F.lit(1).alias("one")), "p6m").drop("one")
+    later = members.filter("cls < row_id").select("tbl", "row_id")
+    firsts = sets.join(_small(later, MAX_IDS), ["tbl", "row_id"], "left_anti").withColumnRenamed("row_id", "cls")
     return firsts, members
 
 
 def similar_classes(classes: DataFrame, dearest: int | None = None) -> DataFrame:
-    """(a, b): classes a < b with similar sets; classes: tbl, cls (unique over all tables), runs."""
-    spark = classes.sparkSession
+    """(tbl, a, b): classes a < b with similar sets; classes: tbl, cls (unique over all tables), parity, runs."""
     freq = frequencies(classes)
     limit = dearest if dearest is not None else int(max(DEAREST, 8 * freq.mean()))
-    sig = materialize(signatures(classes, freq, limit), "p6")
-    index = sig.filter("kind = 0").select("key", F.col("cls").alias("s"), F.col("size").alias("ss"))
-    probe = sig.filter("kind = 1").select("key", F.col("cls").alias("r"), F.col("size").alias("rs"))
-    order = (F.col("ss") < F.col("rs")) | ((F.col("ss") == F.col("rs")) & (F.col("s") < F.col("r")))
-    pairs = probe.join(index, "key").filter(order & (F.col("ss") * DEN >= F.col("rs") * NUM)).select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b"))
-    hard = sig.filter("kind = 2").select("cls").distinct()
+    met = materialize(candidates(signatures(classes, freq, limit, CHEAP + 2 * freq.mean())), "p6")
+    pairs = met.filter("a < b")
+    hard = met.filter("a = b").select(F.col("a").alias("cls"))
     if not hard.isEmpty():
-        pairs = pairs.unionByName(_hard_pairs(classes, hard, freq))
-    pairs = pairs.distinct()
-    left = classes.select(F.col("cls").alias("a"), F.col("tbl").alias("ta"), F.col("runs").alias("x"))
-    right = classes.select(F.col("cls").alias("b"), F.col("tbl").alias("tb"), F.col("runs").alias("y"))
+        pairs = pairs.unionByName(_hard_pairs(classes, _small(hard, MAX_IDS), freq)).distinct()
+    # first by size and parity sketch, which move in little space, then exactly
+    side = lambda c: classes.select(F.col("cls").alias(c), F.col("tbl").alias(f"t{c}"), F.size("runs").alias(f"n{c}"), F.col("parity").alias(f"p{c}")).dropDuplicates([c]).hint("shuffle_hash")
+    total = F.col("na") + F.col("nb")
+    differ = total - 2 * F.ceil(total * NUM / F.lit(NUM + DEN))
+    bits = sum((F.bit_count(F.col("pa")[k].bitwiseXOR(F.col("pb")[k])) for k in range(PARITY)), F.lit(0))
+    close = pairs.join(side("a"), "a").join(side("b"), "b").filter((F.col("ta") == F.col("tb")) & (bits <= differ)).select("a", "b")
+    close = materialize(close, "p6c")
+    wanted = _small(close.select(F.col("a").alias("cls")).union(close.select("b")).distinct(), MAX_IDS)
+    whole = lambda c, x: classes.join(wanted, "cls", "left_semi").select("tbl", F.col("cls").alias(c), F.col("runs").alias(x)).dropDuplicates([c]).hint("shuffle_hash")
     both = F.size(F.array_intersect("x", "y"))
-    found = pairs.join(left, "a").join(right, "b").filter((F.col("ta") == F.col("tb")) & (both * (NUM + DEN) >= (F.size("x") + F.size("y")) * NUM))
-    return found.select(F.col("ta").alias("tbl"), "a", "b")
+    found = close.join(whole("a", "x"), "a").join(whole("b", "y").drop("tbl"), "b").filter(both * (NUM + DEN) >= (F.size("x") + F.size("y")) * NUM)
+    return found.select("tbl", "a", "b")
+
+
+def _small(df: DataFrame, most: int) -> DataFrame:
+    """`df`, broadcast if it has at most `most` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 
 
 def _hard_pairs(classes: DataFrame, hard: DataFrame, freq: np.ndarray) -> DataFrame:
@@ -282,8 +397,11 @@ def _hard_pairs(classes: DataFrame, hard: DataFrame, freq: np.ndarray) -> DataFr
             yield pa.record_batch([pa.array(tbl, pa.string()), pa.array(who, pa.int64()), pa.array(keep, pa.int64())], names=["tbl", "r", "run"])
 
     runs = classes.join(hard, "cls", "left_semi").select("tbl", "cls", "runs").mapInArrow(rare, "tbl string, r long, run long")
+    runs = materialize(runs, "p6h")
+    few = runs.select("run").distinct()
     all_runs = classes.select("tbl", F.col("cls").alias("s"), F.explode("runs").alias("run"))
-    return runs.join(all_runs, ["tbl", "run"]).filter(F.col("r") != F.col("s")).select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b"))
+    all_runs = all_runs.join(_small(few, MAX_IDS), "run", "left_semi")
+    return runs.join(all_runs, ["tbl", "run"]).filter(F.col("r") != F.col("s")).select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")).distinct()
 
 
 def near_duplicates(parts: list[DataFrame], dearest: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -297,12 +415,22 @@ def near_duplicates(parts: list[DataFrame], dearest: int | None = None) -> tuple
         sets = sets.unionByName(p)
     firsts, members = classes_of(sets)
     firsts = materialize(firsts, "p6")
-    members = members.join(firsts.select("tbl", "h1", "h2", "cls"), ["tbl", "h1", "h2"]).select("tbl", "cls", "row_id")
-    # one id over all tables: the hash of the set
-    classes = firsts.select("tbl", F.xxhash64("tbl", "h1", "h2").alias("cls"), "runs")
-    names = firsts.select("tbl", F.xxhash64("tbl", "h1", "h2").alias("x"), "cls")
-    links = similar_classes(classes, dearest)
-    links = links.join(names.select("tbl", F.col("x").alias("a"), F.col("cls").alias("ca")), ["tbl", "a"]).join(names.select("tbl", F.col("x").alias("b"), F.col("cls").alias("cb")), ["tbl", "b"])
+    # one id over all tables: small numbers where they fit, as these move in less space, else a hash
+    tables = [r.tbl for r in firsts.select("tbl").distinct().orderBy("tbl").collect()]  # as many as there are parts
+    span = firsts.agg(F.max(F.abs("cls"))).first()[0] or 0
+    small = span < (1 << 62) // max(1, len(tables))
+    if small:
+        number = F.coalesce(*[F.when(F.col("tbl") == t, F.lit(k)) for k, t in enumerate(tables)], F.lit(0))
+        one = F.col("cls") * len(tables) + number
+    else:
+        one = F.xxhash64("tbl", "h1", "h2")
+    links = similar_classes(firsts.select("tbl", one.cast("long").alias("cls"), "parity", "runs"), dearest)
+    if small:
+        back = lambda c: F.expr(f"({c} - pmod({c}, {len(tables)})) div {len(tables)}")
+        links = links.select("tbl", back("a").alias("ca"), back("b").alias("cb"))
+    else:
+        names = firsts.select("tbl", one.alias("x"), "cls").distinct()
+        links = links.join(names.select("tbl", F.col("x").alias("a"), F.col("cls").alias("ca")), ["tbl", "a"]).join(names.select("tbl", F.col("x").alias("b"), F.col("cls").alias("cb")), ["tbl", "b"])
     return links.select("tbl", F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")), members
 
 
