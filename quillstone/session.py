@@ -67,3 +67,16 @@ def _remove(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
     except Exception:  # the JVM is gone: the folder's owner cleans up
         pass
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that no machine needs it installed."""
+    sc = spark.sparkContext
+    if getattr(ship, "done", None) == sc.applicationId:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="quillstone-zip-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = shutil.make_archive(os.path.join(folder, "quillstone_package"), "zip", os.path.dirname(here), os.path.basename(here))
+    sc.addPyFile(path)
+    ship.done = sc.applicationId
