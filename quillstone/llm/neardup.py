@@ -35,6 +35,8 @@ BUCKETS, DEAREST = 1 << 18, 20_000
 MAX_IDS = 500_000
 #: Classes of equal sets larger than this are linked to their first record instead of pair by pair.
 EXPAND = 500
+#: Records whose segments are worked out at a time, which bounds a worker's memory.
+BLOCK = 2_000
 #: Bits of a key; equal keys of different segments only add candidates.
 KEY_BITS = 40
 KEEP = 300_000
@@ -238,20 +240,22 @@ def signatures(classes: DataFrame, freq: np.ndarray, dearest: int, spare: float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = np.array(b.column("cls").to_numpy(zero_copy_only=False), np.int64)
-            ids, once = np.unique(ids, return_index=True)
-            b = b.take(pa.array(once))
-            lists = b.column("runs")
-            flat = np.array(lists.flatten().to_numpy(zero_copy_only=False), np.int64).view(_U)
-            size = np.array(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)
-            if not len(ids):
-                continue
-            index, probe, hard = units(np.repeat(np.arange(len(ids)), size), size, flat, freq, _salts(b.column("tbl").to_pylist()), dearest, spare)
-            own = -1 - (mix(ids[hard].view(_U)) >> _U(64 - KEY_BITS)).view(np.int64)  # a key of its own keeps hard records spread
-            for key, rec, low in ((index["key"], index["rec"], np.full(len(index["rec"]), INDEX)), (probe["key"], probe["rec"], probe["need"] << 4 | probe["weight"] << 2 | PROBE), (own, hard, np.full(len(hard), HARD))):
-                meta = size[rec] << 11 | low
-                for i in range(0, len(rec), 200_000):
-                    yield pa.record_batch([pa.array(x[i : i + 200_000]) for x in (key, ids[rec], meta)], names=["key", "cls", "meta"])
+            for at in range(0, b.num_rows, BLOCK):
+                part = b.slice(at, BLOCK)
+                ids = np.array(part.column("cls").to_numpy(zero_copy_only=False), np.int64)
+                ids, once = np.unique(ids, return_index=True)
+                part = part.take(pa.array(once))
+                lists = part.column("runs")
+                flat = np.array(lists.flatten().to_numpy(zero_copy_only=False), np.int64).view(_U)
+                size = np.array(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)
+                if not len(ids):
+                    continue
+                index, probe, hard = units(np.repeat(np.arange(len(ids)), size), size, flat, freq, _salts(part.column("tbl").to_pylist()), dearest, spare)
+                own = -1 - (mix(ids[hard].view(_U)) >> _U(64 - KEY_BITS)).view(np.int64)  # a key of its own keeps hard records spread
+                for key, rec, low in ((index["key"], index["rec"], np.full(len(index["rec"]), INDEX)), (probe["key"], probe["rec"], probe["need"] << 4 | probe["weight"] << 2 | PROBE), (own, hard, np.full(len(hard), HARD))):
+                    meta = size[rec] << 11 | low
+                    for i in range(0, len(rec), 200_000):
+                        yield pa.record_batch([pa.array(x[i : i + 200_000]) for x in (key, ids[rec], meta)], names=["key", "cls", "meta"])
 
     return classes.select("tbl", "cls", "runs").mapInArrow(run, SIGNATURES)
 
