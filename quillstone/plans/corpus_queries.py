@@ -98,10 +98,10 @@ def pagination(spark: SparkSession, d: str) -> DataFrame:
     return corpus.page(table(spark, d, "supplier", "s_suppkey", "s_name", "s_acctbal"), ["s_acctbal", "s_suppkey"], 2, 20).select("s_suppkey", "s_name")
 
 
-@query("""WITH x AS (SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS i, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer WHERE c_custkey <= 30) SELECT c_mktsegment, c_custkey, CAST(r AS INT) AS round FROM x, range(12) t(r) WHERE r % n = i""")
+@query("""WITH x AS (SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY c_custkey) - 1 AS i, count(*) OVER (PARTITION BY c_mktsegment, c_nationkey) AS n FROM customer) SELECT c_mktsegment, c_custkey, CAST(r AS INT) AS round FROM x, range(20) t(r) WHERE r % n = i""")
 def cyclic_sampling(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer", "c_mktsegment", "c_custkey").filter("c_custkey <= 30")
-    return corpus.cyclic_rounds(c, "c_mktsegment", ["c_custkey"], 12).select("c_mktsegment", "c_custkey", "round")
+    c = table(spark, d, "customer", "c_mktsegment", "c_nationkey", "c_custkey").withColumn("g", F.struct("c_mktsegment", "c_nationkey"))
+    return corpus.cyclic_rounds(c, "g", ["c_custkey"], 20).select("c_mktsegment", "c_custkey", "round")
 
 
 @query("SELECT a.s_nationkey, a.s_suppkey AS a, b.s_suppkey AS b FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) i FROM supplier) a JOIN (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) i FROM supplier) b ON a.s_nationkey = b.s_nationkey AND b.i - a.i BETWEEN 1 AND 3")
@@ -201,7 +201,7 @@ def cosine_topk_indexed(spark: SparkSession, d: str) -> DataFrame:
 
 
 _BM25 = r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([a-z0-9_]+)')) AS term FROM documents WHERE text IS NOT NULL), n AS (SELECT doc_id, count(*) AS n_terms FROM t GROUP BY 1), i AS (SELECT term, doc_id, count(*) AS tf FROM t GROUP BY 1, 2),
-q AS (SELECT query_id, term, count(*) AS qf FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(intent), '([a-z0-9_]+)')) AS term FROM inspection_items WHERE item_id % 20 = 0) GROUP BY 1, 2),
+q AS (SELECT query_id, term, count(*) AS qf FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(intent), '([a-z0-9_]+)')) AS term FROM inspection_items WHERE item_id % 50 = 0) GROUP BY 1, 2),
 f AS (SELECT term, count(*) AS df FROM i GROUP BY 1), s AS (SELECT count(*) AS nd, avg(coalesce(n_terms, 0)) AS m FROM documents LEFT JOIN n USING (doc_id) WHERE text IS NOT NULL)
 SELECT query_id, doc_id, score FROM (SELECT query_id, doc_id, round(sum(ln(1 + (nd - df + 0.5) / (df + 0.5)) * qf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_terms / m))), 6) AS score FROM i JOIN q USING (term) JOIN f USING (term) JOIN n USING (doc_id), s GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10"""
 
@@ -211,7 +211,7 @@ def bm25_search(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents", "doc_id", "text").filter(F.col("text").isNotNull())
     index = search.inverted_index(docs, "doc_id", "text")
     stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(search.terms(F.col("text")))).alias("m")).first()
-    q = table(spark, d, "inspection_items", "item_id", "intent").filter(F.col("item_id") % 20 == 0).select(F.col("item_id").alias("query_id"), F.explode(search.terms(F.col("intent"))).alias("term"))
+    q = table(spark, d, "inspection_items", "item_id", "intent").filter(F.col("item_id") % 50 == 0).select(F.col("item_id").alias("query_id"), F.explode(search.terms(F.col("intent"))).alias("term"))
     return search.bm25(index, stats.n, stats.m, q, "doc_id").select("query_id", "doc_id", "score")
 
 

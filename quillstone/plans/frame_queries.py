@@ -285,10 +285,10 @@ def ohlc(spark: SparkSession, d: str) -> DataFrame:
     return fr.ohlc(table(spark, d, "events", "ts", "value", "event_type"), "ts", "1 day", "value", ["event_type"])
 
 
-@query("""WITH b AS (SELECT user_id, date_trunc('hour', ts) AS bucket, count(*) AS n FROM events WHERE user_id < 20 GROUP BY 1, 2), s AS (SELECT user_id, unnest(generate_series(min(bucket), max(bucket), INTERVAL 1 HOUR)) AS bucket FROM b GROUP BY 1)
+@query("""WITH b AS (SELECT user_id, date_trunc('hour', ts) AS bucket, count(*) AS n FROM events GROUP BY 1, 2), s AS (SELECT user_id, unnest(generate_series(min(bucket), max(bucket), INTERVAL 1 HOUR)) AS bucket FROM b GROUP BY 1)
 SELECT user_id, bucket, last_value(n IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS n FROM s LEFT JOIN b USING (user_id, bucket)""")
 def resample_upsample_ffill(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events", "ts", "user_id").filter("user_id < 20")
+    e = table(spark, d, "events", "ts", "user_id")
     b = fr.resample(e, "ts", "1 hour", {"n": F.count(F.lit(1))}, ["user_id"])
     return fr.ffill(fr.upsample(b, "bucket", "1 hour", ["user_id"]), ["n"], ["bucket"], ["user_id"]).select("user_id", "bucket", "n")
 
