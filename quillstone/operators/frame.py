@@ -11,6 +11,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quillstone.session import materialize
+
 # -- arithmetic and comparison
 
 
@@ -60,17 +62,43 @@ def take(df: DataFrame, order: list[str], positions: list[int]) -> DataFrame:
     return few.withColumn("position", F.row_number().over(w) - 1).filter(F.col("position").isin(at))
 
 
+def ranged(df: DataFrame, order: list[str], name: str = "__part") -> DataFrame:
+    """Rows in ranges of an order, written once, with the number of their range: later ranges hold later rows."""
+    return materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.spark_partition_id()), "rng")
+
+
 def position(df: DataFrame, order: list[str], name: str = "position", by: list[str] | None = None) -> DataFrame:
     """0-based position in an order. Without `by` it is global: rows are ranged, counted per range and offset."""
     if by:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
-    from quillstone.session import materialize
-
-    ranged = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()), "pos")
-    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    r = ranged(df, order)
+    sizes = r.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
     offset = sizes.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     w = Window.partitionBy("__part").orderBy(*order)
-    return ranged.withColumn(name, F.row_number().over(w) - 1).join(F.broadcast(offset), "__part").withColumn(name, F.col(name) + F.col("__before")).drop("__part", "__before")
+    return r.withColumn(name, F.row_number().over(w) - 1).join(F.broadcast(offset), "__part").withColumn(name, F.col(name) + F.col("__before")).drop("__part", "__before")
+
+
+def global_lag(df: DataFrame, column: str, order: list[str], name: str) -> DataFrame:
+    """The value of the row before in an order over the whole frame: within ranges, and across their borders by a table of one row per range."""
+    r = ranged(df, order)
+    w = Window.partitionBy("__part").orderBy(*order)
+    ends = r.groupBy("__part").agg(F.max_by(F.struct(column), F.struct(*order)).alias("e"))
+    ends = ends.select("__part", F.lag("e").over(Window.orderBy("__part")).alias("__e"))
+    x = r.withColumn(name, F.lag(column).over(w)).withColumn("__n", F.row_number().over(w)).join(F.broadcast(ends), "__part")
+    return x.withColumn(name, F.when(F.col("__n") == 1, F.col("__e")[column]).otherwise(F.col(name))).drop("__part", "__n", "__e")
+
+
+def global_ffill(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """Missing values taken from the last present one before in an order over the whole frame, as global_lag goes about it."""
+    r = ranged(df, order)
+    w = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    key = F.struct(*order)
+    ends = r.groupBy("__part").agg(*[F.max_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), key)).alias(f"__e{i}") for i, c in enumerate(columns)])
+    ends = ends.select("__part", *[F.last(f"__e{i}", ignorenulls=True).over(before).alias(f"__b{i}") for i in range(len(columns))])
+    at = {c: i for i, c in enumerate(columns)}
+    x = r.join(F.broadcast(ends), "__part")
+    return x.select(*[F.coalesce(F.last(c, ignorenulls=True).over(w), F.col(f"__b{at[c]}")).alias(c) if c in at else F.col(c) for c in df.columns])
 
 
 def nlargest(df: DataFrame, n: int, column: str, tie: str, keep: str = "first", smallest: bool = False) -> DataFrame:

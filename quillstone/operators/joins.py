@@ -76,12 +76,13 @@ def _distance(a: Column, b: Column) -> Column:
 
 
 def ordered_merge(left: DataFrame, right: DataFrame, on: str, fill: bool = False) -> DataFrame:
-    """Outer merge in the order of `on`; with fill, missing values are taken from the row before."""
+    """Outer merge in the order of `on`; with fill, missing values are taken from the row before. Rows without a key are not filled."""
     j = merge(left, right, [on], "outer")
     if not fill:
         return j
-    w = Window.orderBy(F.col(on).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    return j.select(on, *[F.last(c, ignorenulls=True).over(w).alias(c) for c in j.columns if c != on])
+    from quillstone.operators.frame import global_ffill
+
+    return global_ffill(j.filter(F.col(on).isNotNull()), [c for c in j.columns if c != on], [on]).unionByName(j.filter(F.col(on).isNull()))
 
 
 def stab(points: DataFrame, items: DataFrame, at: str, start: str, end: str, width: int, by: list[str] | None = None) -> DataFrame:
