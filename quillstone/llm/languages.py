@@ -20,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 LANGS = ("en", "de", "fr", "es", "pt", "it", "nl", "ru")
 #: Codes of these languages in two and three letters (both three-letter standards).
@@ -44,7 +44,7 @@ FUNCTION_WORDS = {
 DIM, GRAMS, SAMPLE, ROUNDS = 2048, (3, 4), 300, 2
 #: Times that each function word counts beside the sample.
 SEED_WEIGHT = 3
-#: Most words that a worker keeps.
+#: Words from which a worker forgets those it knows before the next text.
 KEEP = 200_000
 
 _FENCE = re.compile(r"(?:^|\n)[ \t]*(```|~~~).*?(?:\n[ \t]*\1[^\n]*|\Z)", re.S)
@@ -99,22 +99,30 @@ def _letter(c: str) -> np.ndarray:
     return r.integers(0, 2, DIM, dtype=np.int8) * 2 - 1
 
 
+@lru_cache(maxsize=8192)
+def _placed(c: str, shift: int) -> np.ndarray:
+    return np.roll(_letter(c), shift)
+
+
+def _bind(s: str) -> np.ndarray:
+    gram = _placed(s[-1], 0)
+    for k, c in enumerate(reversed(s[:-1]), 1):
+        gram = gram * _placed(c, k)
+    return gram
+
+
+_bind_short = lru_cache(maxsize=8192)(_bind)
+
+
 def word_vector(w: str) -> tuple[np.ndarray, int]:
     """The bundle of the n-grams of a word between blanks and of the whole word, and how many they are.
 
     A word of more than 64 letters, no word of any language, counts by its first 64.
     """
     s = f" {w[:64]} "
-    total = np.zeros(DIM, np.int32)
-    n = 0
-    for size in sorted({*(x for x in GRAMS if x < len(s)), len(s)}):
-        for i in range(len(s) - size + 1):
-            gram = np.ones(DIM, np.int8)
-            for k, c in enumerate(s[i : i + size]):
-                gram = gram * np.roll(_letter(c), size - 1 - k)
-            total += gram
-            n += 1
-    return total, n
+    grams = [_bind_short(s[i : i + n]) for n in GRAMS if n < len(s) for i in range(len(s) - n + 1)]
+    grams.append(_bind(s))
+    return np.sum(grams, axis=0, dtype=np.int32), len(grams)
 
 
 class Profiles:
@@ -123,26 +131,42 @@ class Profiles:
     def __init__(self, prototypes: np.ndarray):
         p = prototypes - prototypes.mean(axis=0)
         self.prototypes = (p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-        self.known: dict[str, np.ndarray] = {}
+        self.place: dict[str, int] = {}
+        self.rows = np.zeros((1024, len(LANGS) + 1), np.float32)
 
-    def word(self, w: str) -> np.ndarray:
-        got = self.known.get(w)
+    def word(self, w: str) -> int:
+        """The row of a word: its products with the prototypes and its number of n-grams."""
+        got = self.place.get(w)
         if got is None:
-            if len(self.known) >= KEEP:
-                self.known.clear()
+            got = self.place[w] = len(self.place)
+            if got >= len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
             v, n = word_vector(w)
-            got = self.known[w] = np.append(self.prototypes @ v.astype(np.float32), n).astype(np.float32)
+            self.rows[got, :-1] = self.prototypes @ v.astype(np.float32)
+            self.rows[got, -1] = n
         return got
 
     def score(self, words: list[str]) -> np.ndarray:
         """Cosines of a text with the prototypes."""
         if not words:
             return np.zeros(len(LANGS), np.float32)
+        if len(self.place) + len(words) > KEEP:
+            self.place.clear()
         counts = Counter(words)
-        known = np.array([self.word(w) for w in counts])
+        places = [self.word(w) for w in counts]
+        known = self.rows[places]
         n = np.fromiter(counts.values(), np.float32, len(counts))
         return n @ known[:, :-1] / np.sqrt(DIM * max(1.0, float(n * n @ known[:, -1])))
 
+    def products(self, parts: list[list[str]]) -> np.ndarray:
+        """The products of each text's bundle with the prototypes: cosines but for the norm, which is the same for all languages. No text is empty."""
+        sizes = [len(w) for w in parts]
+        if len(self.place) + sum(sizes) > KEEP:
+            self.place.clear()
+        word = self.word
+        places = [word(w) for p in parts for w in p]
+        return np.add.reduceat(self.rows[places, :-1], np.cumsum([0, *sizes[:-1]]))
+
 
 def fit(sample: list[tuple[str, str]]) -> np.ndarray:
     """Prototypes (a row per language) from (label, text) rows and the function words."""
@@ -187,16 +211,14 @@ def labelled_sample(docs: DataFrame, text_col: str, label_col: str, id_col: str,
     rows = rows.filter(F.col("l").isin(*CODES))
     code = F.create_map(*[F.lit(x) for kv in CODES.items() for x in kv])
     rows = rows.select(code[F.col("l")].alias("l"), "h", "t")
-    # the smallest hashes per language: a threshold first, so that no language is gathered in one task
+    # the smallest hashes per language: a threshold first, which leaves about twice as many rows as wanted
     n = {r.l: r.n for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
-    out: list[tuple[str, str]] = []
-    for lang in LANGS:
-        if n.get(lang):
-            share = min(1.0, 2.0 * per_language / n[lang])
-            limit = int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else (1 << 63) - 1
-            part = rows.filter((F.col("l") == lang) & (F.col("h") <= F.lit(limit))).orderBy("h").limit(per_language)
-            out += [(r.l, r.t) for r in part.select("l", "t").collect()]
-    return out
+    if not n:
+        return []
+    limit = {k: int(-(1 << 63) + 2.0 * per_language / v * ((1 << 64) - 1)) if v > 2 * per_language else (1 << 63) - 1 for k, v in n.items()}
+    few = rows.filter(F.col("h") <= F.create_map(*[F.lit(x) for kv in limit.items() for x in kv])[F.col("l")]).groupBy("l", "h").agg(F.min("t").alias("t"))
+    few = few.withColumn("i", F.row_number().over(Window.partitionBy("l").orderBy("h"))).filter(F.col("i") <= per_language)
+    return [(r.l, r.t) for r in few.orderBy("l", "h").select("l", "t").collect()]
 
 
 def segments_of(labels: list[int], scores: np.ndarray) -> list[tuple[int, list[int]]]:
@@ -238,7 +260,7 @@ def analyse(text: str, profiles: Profiles) -> list[tuple[str, float, int]]:
         parts = [w] if w else []
     if not parts:
         return []
-    scores = np.array([profiles.score(w) for w in parts])
+    scores = profiles.products(parts)
     labels = scores.argmax(axis=1)
     if len(parts) > 1:
         sure = [i for i, w in enumerate(parts) if len(w) >= LEAST_WORDS]

@@ -350,7 +350,7 @@ def classes_of(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     w = Window.partitionBy("tbl", "h1", "h2")
     ids = sets.select("tbl", "row_id", "h1", "h2").repartition("tbl", "h1", "h2").dropDuplicates(["tbl", "h1", "h2", "row_id"])
-    members = materialize(ids.select("tbl", F.min("row_id").over(w).alias("cls"), "row_id", F.lit(1).alias("one")), "p6m").drop("one")
+    members = materialize(ids.select("tbl", F.min("row_id").over(w).alias("cls"), "row_id"), "p6m")
     later = members.filter("cls < row_id").select("tbl", "row_id")
     firsts = sets.join(_small(later, MAX_IDS), ["tbl", "row_id"], "left_anti").withColumnRenamed("row_id", "cls")
     return firsts, members
