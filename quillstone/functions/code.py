@@ -594,3 +594,68 @@ def notebook_script(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     c = notebook_cells(df, id_col, json_col).filter("cell_type = 'code'")
     g = c.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("cell_no", "source"))).alias("s"))
     return g.select(id_col, F.array_join(F.transform("s", lambda x: x["source"]), "\n").alias("script"))
+
+
+def context_variables(code: str, frames: list[str]) -> dict[str, str] | None:
+    """Free names that are neither libraries nor frames, with the kind of their literal value; null if one has none.
+
+    A snippet with a name of unknown kind can't stand alone.
+    """
+    t = _tree(code)
+    if t is None:
+        return None
+    known = {}
+    for s in t.body:
+        if isinstance(s, ast.Assign) and len(s.targets) == 1 and isinstance(s.targets[0], ast.Name):
+            v = constant_value(ast.unparse(s.value))
+            known[s.targets[0].id] = None if v is None else type(ast.literal_eval(v)).__name__
+    libraries = set(library_usages(code) or {})
+    free = {n.id for n in ast.walk(t) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Load)} - libraries - set(frames)
+    free = {n for n in free if not hasattr(builtins, n)}
+    if any(known.get(n) is None for n in free):
+        return None
+    return {n: known[n] for n in sorted(free)}
+
+
+def lift_columns(code: str, columns: list[str]) -> tuple[str, dict[str, str]] | None:
+    """Column names of a schema as variables col1.. in order of place, names assigned for the first time as new_col1..;
+    a list of all columns as `columns`. The second part says what each stands for."""
+    t = _tree(code)
+    if t is None:
+        return None
+    names: dict[str, str] = {}
+    have, n = set(columns), {"col": 0, "new_col": 0}
+    new = {x.slice.value for s in ast.walk(t) if isinstance(s, ast.Assign) for x in s.targets if isinstance(x, ast.Subscript) and isinstance(x.slice, ast.Constant) and isinstance(x.slice.value, str) and x.slice.value not in have}
+
+    class Lift(ast.NodeTransformer):
+        def visit(self, node):
+            if isinstance(node, ast.List) and len(node.elts) == len(columns) > 1 and [getattr(e, "value", None) for e in node.elts] == columns:
+                names["columns"] = repr(columns)
+                return ast.Name(id="columns", ctx=ast.Load())
+            if isinstance(node, ast.Constant) and isinstance(node.value, str) and (node.value in have or node.value in new):
+                key = repr(node.value)
+                if key not in names.values():
+                    kind = "col" if node.value in have else "new_col"
+                    n[kind] += 1
+                    names[f"{kind}{n[kind]}"] = key
+                return ast.Name(id=next(k for k, v in names.items() if v == key), ctx=ast.Load())
+            if isinstance(node, ast.JoinedStr):
+                return node
+            return self.generic_visit(node)
+
+    return _text(Lift().visit(t)), names
+
+
+def is_instantiation(pattern: str, code: str, params: list[str], text: str) -> bool:
+    """Whether a code is the pattern with its parameters filled in, each of which the text mentions."""
+    return unify(pattern, code, params) is not None and all(re.search(rf"(?<!\w){re.escape(p)}(?!\w)", text) for p in params)
+
+
+def top_tokens(tokens: list[str], tops: list[list[str]], start: int, stop: int) -> list[list[str]]:
+    """The alternatives of the tokens that cover the characters [start, stop) of the joined text."""
+    at, out = 0, []
+    for t, alternatives in zip(tokens, tops):
+        if at < stop and at + len(t) > start:
+            out.append(alternatives)
+        at += len(t)
+    return out

@@ -187,3 +187,27 @@ def sliding_sum(df: DataFrame, at: str, value: str, seconds: int, by: list[str]
     t = F.unix_micros(F.col(at).cast("timestamp"))
     w = Window.partitionBy(*(by or [])).orderBy("__t").rangeBetween(-seconds * 1_000_000 + 1, 0)
     return df.withColumn("__t", t).withColumn("in_window", F.sum(value).over(w)).drop("__t")
+
+
+def zip_results(tasks: DataFrame, results: DataFrame, task_id: str) -> DataFrame:
+    """Tasks with their results by id, so that a task without one shifts nothing; both ids must be unique."""
+    from quillstone.operators.joins import merge
+
+    return merge(tasks, results, [task_id], "left", validate="one_to_one")
+
+
+def unsolved(baseline: DataFrame, run: DataFrame, key: str, solved: str) -> DataFrame:
+    """Records of a run whose key the baseline has and has not solved."""
+    return run.join(baseline.filter(~F.coalesce(F.col(solved), F.lit(False))).select(key).distinct(), key, "left_semi")
+
+
+def penalised(history: DataFrame, group: str, ok: str, turn: str, errors: int = 3, rounds: int = 50) -> DataFrame:
+    """(group, blocked_until): groups that failed `errors` times since their last success, and the turn up to which they wait.
+
+    history: one row per attempt in order of turn. A scheduler serves a group again from blocked_until on.
+    """
+    w = Window.partitionBy(group).orderBy(turn).rowsBetween(Window.unboundedPreceding, 0)
+    x = history.withColumn("__s", F.coalesce(F.sum(F.col(ok).cast("int")).over(w), F.lit(0)))
+    x = x.withColumn("__e", F.sum((~F.coalesce(F.col(ok), F.lit(False))).cast("int")).over(Window.partitionBy(group, "__s").orderBy(turn).rowsBetween(Window.unboundedPreceding, 0)))
+    last = x.groupBy(group).agg(F.max_by(F.struct(F.col(turn).alias("t"), F.col("__e").alias("e")), turn).alias("l"))
+    return last.filter((F.col("l.e") > 0) & (F.col("l.e") % errors == 0)).select(group, (F.col("l.t") + rounds).alias("blocked_until"))

@@ -130,3 +130,30 @@ def chain(df: DataFrame, steps: list[Callable[[DataFrame], DataFrame]], key: str
         if key not in df.columns:
             raise ValueError(f"no column {key}")
     return df
+
+
+def associated_competition(sources: Column) -> Column:
+    """The one competition among an array of addresses, null if there is none or are several."""
+    c = F.filter(sources, lambda x: source_class(x) == "COMPETITION")
+    return F.when(F.size(c) == 1, c[0])
+
+
+def code_cells(cells: Column) -> Column:
+    """The code cells of an array of struct(cell_type, source), blank ones left out."""
+    return F.filter(cells, lambda c: (c["cell_type"] == "code") & (F.trim(F.coalesce(c["source"], F.lit(""))) != ""))
+
+
+#: Functions by name, for campaigns that are told by text what to do.
+REGISTRY: dict[str, Callable] = {}
+
+
+def registered(name: str) -> Callable:
+    """A decorator that enters a function in REGISTRY; a name that is taken raises."""
+
+    def enter(f: Callable) -> Callable:
+        if name in REGISTRY:
+            raise KeyError(name)
+        REGISTRY[name] = f
+        return f
+
+    return enter

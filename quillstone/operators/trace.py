@@ -256,3 +256,37 @@ def colour(ranges: DataFrame, group: list[str], start: str, end: str, kind: str)
         return pdf.assign(colour=pd.Series(out, dtype="int32"))
 
     return ranges.groupBy(*group).applyInPandas(paint, schema)
+
+
+def slice_without(edges: DataFrame, seeds: DataFrame, items: DataFrame, cutoff: DataFrame) -> DataFrame:
+    """(run_id, root, node, depth): a slice in two passes that leaves out what may be rebuilt otherwise.
+
+    cutoff: (run_id, obj_id, latest). The first pass reaches everything; reached items that evaluate to an object and end
+    no later than its cut-off are barred in the second.
+    """
+    first = reachable(edges, seeds)
+    known = first.select("run_id", "node").distinct().join(items.select("run_id", F.col("item_id").alias("node"), "obj_id", "end_time"), ["run_id", "node"]).join(cutoff, ["run_id", "obj_id"])
+    barred = known.filter(F.col("end_time") <= F.col("latest")).select("run_id", "node").distinct()
+    return reachable(edges, seeds.join(barred, ["run_id", "node"], "left_anti"), barred)
+
+
+def latest_cutoff(points: DataFrame, items: DataFrame, by: list[str]) -> DataFrame:
+    """Each point (`start_time`) with the latest end of an item of the same key that is over by then, as `latest`."""
+    from quillstone.operators.joins import asof
+
+    over = items.select(*by, F.col("end_time").alias("start_time"), F.col("end_time").alias("latest"))
+    return asof(points, over, "start_time", by, ["latest"]).drop("right_start_time")
+
+
+def object_dependence(items: DataFrame, events: DataFrame, deps: DataFrame, resolvers: DataFrame, width: int) -> DataFrame:
+    """(run_id, item_id, obj_ids): objects read in an item or in any item that its external dependencies lead to.
+
+    From a dependency the way goes on to its earliest-ending resolver; objects come sorted and once.
+    """
+    i = items.select("run_id", "item_id", F.struct("end_time", "start_time", "item_id").alias("o"))
+    ext = item_dependencies(items, deps, width).filter("side = 'external'")
+    to = resolvers.join(i, ["run_id", "item_id"]).groupBy("run_id", "src_seq", "dst_seq").agg(F.min("o").alias("o")).select("run_id", "src_seq", "dst_seq", F.col("o.item_id").alias("next"))
+    edges = ext.join(to, ["run_id", "src_seq", "dst_seq"]).select("run_id", F.col("item_id").alias("node"), "next").distinct()
+    reach = reachable(edges, items.select("run_id", F.col("item_id").alias("node"))).select("run_id", "root", "node")
+    reads = enveloping_items(events.filter((F.col("kind") == "read") & F.col("obj_id").isNotNull()).select("run_id", "obj_id", F.col("ts").alias("t")), items, width).select("run_id", F.col("item_id").alias("node"), "obj_id").distinct()
+    return reach.join(reads, ["run_id", "node"]).groupBy("run_id", F.col("root").alias("item_id")).agg(F.array_sort(F.collect_set("obj_id")).alias("obj_ids"))

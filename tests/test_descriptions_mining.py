@@ -64,3 +64,27 @@ def test_source_class(spark):
     u = ["https://k.example/c/x", "https://k.example/datasets/o/x", "https://k.example/code/o/x", "https://z", None]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(u)], "i int, u string")
     assert [r.c for r in df.orderBy("i").select(mining.source_class(F.col("u")).alias("c")).collect()] == ["COMPETITION", "DATASET", "KERNEL_OUTPUT", "UNKNOWN", None]
+
+
+def test_small_operators(spark):
+    from quillstone.functions import code
+    from quillstone.operators import corpus
+
+    h = spark.createDataFrame([("a", i, ok) for i, ok in enumerate([True, False, False, False])] + [("b", 0, False), ("b", 1, True), ("c", 0, False)], "g string, t int, ok boolean")
+    assert {(r.g, r.blocked_until) for r in corpus.penalised(h, "g", "ok", "t", 3, 50).collect()} == {("a", 53)}
+    base = spark.createDataFrame([(1, True), (2, False), (3, None)], "k int, s boolean")
+    run = spark.createDataFrame([(1,), (2,), (3,), (4,)], "k int")
+    assert {r.k for r in corpus.unsolved(base, run, "k", "s").collect()} == {2, 3}
+    z = corpus.zip_results(run, spark.createDataFrame([(2, "x")], "k int, r string"), "k")
+    assert {(r.k, r.r) for r in z.collect()} == {(1, None), (2, "x"), (3, None), (4, None)}
+    assert code.context_variables("n = 5\nimport numpy as np\nnp.f(df.head(n))", ["df"]) == {"n": "int"} and code.context_variables("df.head(m)", ["df"]) is None
+    assert code.lift_columns("df['new'] = df['a'] + df['b']\ndf[['a', 'b']]", ["a", "b"]) == ("df[new_col1] = df[col1] + df[col2]\ndf[columns]", {"new_col1": "'new'", "col1": "'a'", "col2": "'b'", "columns": "['a', 'b']"})
+    assert code.is_instantiation("f(P)", "f(3)", ["P"], "call with P") and not code.is_instantiation("f(P)", "f(3)", ["P"], "call with PX")
+    assert code.top_tokens(["ab", "c", "de"], [["1"], ["2"], ["3"]], 1, 3) == [["1"], ["2"]]
+    cells = spark.createDataFrame([([("code", "x"), ("code", " "), ("markdown", "y")],)], "c array<struct<cell_type:string,source:string>>")
+    assert [c.source for c in cells.select(mining.code_cells(F.col("c")).alias("c")).first().c] == ["x"]
+    u = spark.createDataFrame([(["https://k/c/one", "https://k/datasets/o"],), (["https://k/c/a", "https://k/c/b"],)], "u array<string>")
+    assert [r.a for r in u.select(mining.associated_competition(F.col("u")).alias("a")).collect()] == ["https://k/c/one", None]
+    mining.registered("t_once")(len)
+    with pytest.raises(KeyError):
+        mining.registered("t_once")(len)

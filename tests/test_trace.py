@@ -159,3 +159,40 @@ def test_empty(spark):
     si, se = spark.createDataFrame([], ITEM), spark.createDataFrame([], EVENT)
     assert trace.dependencies(se).collect() == [] and trace.ancestors(si).collect() == [] and trace.live_ranges(se).collect() == []
     assert trace.resolving_items(trace.dependencies(se), si, se, 5).collect() == []
+
+
+def test_latest_cutoff_and_object_dependence(case, spark):
+    items, events, si, se = case
+    p = spark.createDataFrame([(1, o, t) for o in range(4) for t in (10, 60, 110)], "run_id long, obj_id long, start_time long")
+    got = {(r.obj_id, r.start_time): r.latest for r in trace.latest_cutoff(p, si, ["run_id", "obj_id"]).collect()}
+    for (o, t), latest in got.items():
+        assert latest == max((i[3] for i in items if i[0] == 1 and i[6] == o and i[3] <= t), default=None)
+    deps, by = _deps(events), {(i[0], i[1]): i for i in items}
+    res = {}
+    for r in trace.resolving_items(trace.dependencies(se), si, se, 7).collect():
+        res.setdefault((r.run_id, r.src_seq, r.dst_seq), []).append(r.item_id)
+    want = {}
+    for run, i in by:
+        seen, todo, objs = {i}, [i], set()
+        while todo:
+            _, _, a, b, *_ = by[run, todo.pop()]
+            objs |= {e[5] for e in events if e[0] == run and e[3] == "read" and e[5] is not None and a <= e[2] < b}
+            for r2, s0, t0, s1, t1, _ in deps:
+                if r2 == run and a <= t1 < b and t0 < a and (run, s0, s1) in res:
+                    j = min(res[run, s0, s1], key=lambda k: (by[run, k][3], by[run, k][2], k))
+                    if j not in seen:
+                        seen.add(j)
+                        todo.append(j)
+        if objs:
+            want[run, i] = sorted(objs)
+    rd = trace.resolving_items(trace.dependencies(se), si, se, 7)
+    got = {(r.run_id, r.item_id): r.obj_ids for r in trace.object_dependence(si, se, trace.dependencies(se), rd, 7).collect()}
+    assert got == want
+
+
+def test_slice_without(spark):
+    e = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 1, 4)], "run_id long, node long, next long")
+    items = spark.createDataFrame([(1, i, i * 10, i * 10 + 5, 0, "statement", i, None) for i in range(1, 5)], ITEM)
+    cut = spark.createDataFrame([(1, 2, 30), (1, 4, 10)], "run_id long, obj_id long, latest long")
+    got = trace.slice_without(e, spark.createDataFrame([(1, 1)], "run_id long, node long"), items, cut)
+    assert {r.node for r in got.collect()} == {1, 4}  # 2 ends by its cut-off, and 3 is reached only through it
