@@ -139,4 +139,25 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_segments": p10_segments,
 }
-ORACLE: dict[str, str] = {}
+#: Words and windows in SQL; the other queries have no SQL form (parsers, models, the tokenizer, hashes).
+_WORDS = r"regexp_extract_all(lower(regexp_replace({}, '\p{{Cf}}', '', 'g')), '[\p{{L}}\p{{N}}_]+')"
+_WINDOWS = "SELECT DISTINCT {} AS id, array_to_string(w[i : i + 9], ' ') AS win FROM (SELECT {}, {} AS w FROM {}), LATERAL (SELECT unnest(generate_series(1, len(w) - 9)) AS i)"
+
+
+def _windows(key: str, text: str, table_: str) -> str:
+    return _WINDOWS.format(key, key, _WORDS.format(text), table_)
+
+
+def _runs(table_: str, key: str, text: str) -> str:
+    words = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')".format(text)
+    return f"SELECT DISTINCT '{table_}' AS tbl, {key} AS id, array_to_string(w[i : i + 2], ' ') AS run FROM (SELECT {key}, {words} AS w FROM {table_}), LATERAL (SELECT unnest(generate_series(1, len(w) - 2)) AS i)"
+
+
+ORACLE: dict[str, str] = {
+    "p3_found": f"""WITH t AS ({_windows("item_id", "intent", "inspection_items")} UNION {_windows("item_id", "ground_truth", "inspection_items")}),
+c AS (SELECT 'documents' AS corpus, * FROM ({_windows("doc_id", "text", "documents")}) UNION ALL SELECT 'autodoc_results', * FROM ({_windows("rec_id", "code", "autodoc_results")}))
+SELECT DISTINCT corpus, c.id AS row_id, t.id AS item_id FROM c JOIN t USING (win)""",
+    "p6_found": f"""WITH r AS ({_runs("autodoc_results", "rec_id", "code")} UNION ALL {_runs("mining_tasks", "task_id", "nb_json")}),
+n AS (SELECT tbl, id, count(*) AS n FROM r GROUP BY 1, 2), b AS (SELECT x.tbl, x.id AS row_a, y.id AS row_b, count(*) AS n FROM r x JOIN r y ON x.tbl = y.tbl AND x.run = y.run AND x.id < y.id GROUP BY 1, 2, 3)
+SELECT b.tbl, row_a, row_b FROM b JOIN n p ON p.tbl = b.tbl AND p.id = row_a JOIN n q ON q.tbl = b.tbl AND q.id = row_b WHERE b.n * 10 >= 7 * (p.n + q.n - b.n)""",
+}
