@@ -43,9 +43,10 @@ def state_of(text: str) -> str:
     if t.count("`") % 2:
         return "open"
     bare = re.sub(r"`[^`]*`", "", t)
-    if bare.count("(") > bare.count(")") or bare.count("[") > bare.count("]") or bare.count("“") > bare.count("”"):
-        return "open"
-    return "stop" if _STOPPED.search(t) else "none"
+    stopped = bool(_STOPPED.search(t))
+    if any(bare.count(a) > bare.count(b) and (not stopped or bare.startswith(a)) for a, b in ("()", "[]", "“”")):
+        return "open"  # with a final stop only if the whole text stands in the bracket
+    return "stop" if stopped else "none"
 
 
 class Contexts:
