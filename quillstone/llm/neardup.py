@@ -33,8 +33,11 @@ SPARE, CHEAP = 6, 1_000
 BUCKETS, DEAREST = 1 << 18, 20_000
 #: Bound on ids or runs that are sent to every task.
 MAX_IDS = 500_000
-#: Classes of equal sets larger than this are linked to their first record instead of pair by pair.
-EXPAND = 500
+#: Classes of equal sets larger than this are linked to their first record instead of pair by pair; None: none is, all
+#: pairs are returned.
+EXPAND: int | None = None
+#: Records of a class that meet those of another (or of the same) in one key of the join; larger classes are cut by hash.
+PART = 1_000
 #: Records whose segments are worked out at a time, which bounds a worker's memory.
 BLOCK = 2_000
 #: Bits of a key; equal keys of different segments only add candidates.
@@ -438,19 +441,31 @@ def near_duplicates(parts: list[DataFrame], dearest: int | None = None) -> tuple
     return links.select("tbl", F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")), members
 
 
-def pairs_of(links: DataFrame, members: DataFrame, expand: int = EXPAND) -> DataFrame:
-    """(tbl, row_a, row_b), row_a < row_b: links between records.
+def pairs_of(links: DataFrame, members: DataFrame, expand: int | None = EXPAND) -> DataFrame:
+    """(tbl, row_a, row_b), row_a < row_b: links between records, all of them.
 
-    Classes of more than `expand` equal records are not expanded: their records are linked to the first, which alone
-    is linked to other classes.
+    A class is linked to itself. Classes of more than PART records are cut into parts by hash, so that no key of the
+    join holds more than about PART of them; each pair of parts is a key. The result grows with the pairs that there are.
+    With `expand`, for those who want less: classes of more records are not expanded, but linked to their first, which
+    alone is linked to other classes.
     """
-    w = Window.partitionBy("tbl", "cls")
-    small = members.withColumn("n", F.count(F.lit(1)).over(w)).filter((F.col("n") <= expand) | (F.col("row_id") == F.col("cls"))).select("tbl", "cls", "row_id")
-    x = lambda c, r: small.select("tbl", F.col("cls").alias(c), F.col("row_id").alias(r))
-    across = links.join(x("a", "ra"), ["tbl", "a"]).join(x("b", "rb"), ["tbl", "b"]).select("tbl", F.least("ra", "rb").alias("row_a"), F.greatest("ra", "rb").alias("row_b"))
-    within = x("cls", "ra").join(x("cls", "rb"), ["tbl", "cls"]).filter(F.col("ra") < F.col("rb")).select("tbl", F.col("ra").alias("row_a"), F.col("rb").alias("row_b"))
-    star = members.withColumn("n", F.count(F.lit(1)).over(w)).filter((F.col("n") > expand) & (F.col("row_id") != F.col("cls"))).select("tbl", F.col("cls").alias("row_a"), F.col("row_id").alias("row_b"))
-    return across.unionByName(within).unionByName(star)
+    star = None
+    if expand is not None:
+        w = Window.partitionBy("tbl", "cls")
+        sized = members.withColumn("n", F.count(F.lit(1)).over(w))
+        star = sized.filter((F.col("n") > expand) & (F.col("row_id") != F.col("cls"))).select("tbl", F.col("cls").alias("row_a"), F.col("row_id").alias("row_b"))
+        members = sized.filter((F.col("n") <= expand) | (F.col("row_id") == F.col("cls"))).select("tbl", "cls", "row_id")
+    sizes = members.groupBy("tbl", "cls").agg(F.count(F.lit(1)).alias("n"))
+    big = _small(materialize(sizes.filter(F.col("n") > PART).select("tbl", "cls", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "p6n"), MAX_IDS)
+    cut = members.join(big, ["tbl", "cls"], "left").select("tbl", "cls", "row_id", F.coalesce(F.pmod(F.xxhash64("row_id"), "parts"), F.lit(0)).cast("int").alias("part"))
+    parts_of = lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(f"parts_{c}"), F.lit(1)) - 1)).alias(f"part_{c}")
+    side = lambda c: big.select("tbl", F.col("cls").alias(c), F.col("parts").alias(f"parts_{c}"))
+    all_ = links.select("tbl", "a", "b").unionByName(sizes.filter("n > 1").select("tbl", F.col("cls").alias("a"), F.col("cls").alias("b")))
+    keys = all_.join(side("a"), ["tbl", "a"], "left").join(side("b"), ["tbl", "b"], "left").select("tbl", "a", "b", "parts_b", parts_of("a")).select("tbl", "a", "b", "part_a", parts_of("b"))
+    x = lambda c: cut.select("tbl", F.col("cls").alias(c), F.col("part").alias(f"part_{c}"), F.col("row_id").alias(f"r{c}"))
+    met = keys.join(x("a"), ["tbl", "a", "part_a"]).join(x("b"), ["tbl", "b", "part_b"]).filter((F.col("a") != F.col("b")) | (F.col("ra") < F.col("rb")))
+    pairs = met.select("tbl", F.least("ra", "rb").alias("row_a"), F.greatest("ra", "rb").alias("row_b"))
+    return pairs if star is None else pairs.unionByName(star)
 
 
 def groups_of(links: DataFrame, members: DataFrame) -> DataFrame:

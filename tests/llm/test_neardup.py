@@ -77,6 +77,17 @@ def test_large_class_is_linked_to_its_first(spark):
     assert {r.row_id for r in groups} == {*range(1, 9), 20} and {r.group_id for r in groups} == {1} and all(r.n_links == 1 for r in groups)
 
 
+def test_large_classes_are_expanded(spark, monkeypatch):
+    """501 variants of one text in letter case and punctuation, and two of another text near to it: every pair is returned."""
+    text = "same words in every row here and there"
+    rows = [(i, (text.upper() if i % 2 else text) + "." * (i % 5)) for i in range(1, 502)] + [(900, text + " more"), (901, text + " More!")]
+    for part in (neardup.PART, 100):
+        monkeypatch.setattr(neardup, "PART", part)
+        got = [(r.row_a, r.row_b) for r in _found(spark, rows)[0].collect()]
+        ids = sorted(i for i, _ in rows)
+        assert len(got) == len(set(got)) and set(got) == {(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :]}
+
+
 def test_groups_are_components(spark):
     rows = _corpus(9, 200)
     _, links, members = _found(spark, rows)
