@@ -6,10 +6,16 @@ columns with a rule of closedness.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quillstone.operators import joins
 from quillstone.operators.frame import global_lag, position
+from quillstone.session import materialize
+
+#: Most groups that are sent to every task, and most blocks of a group (their pairs are counted in one task).
+MAX_GROUPS, BLOCKS = 100_000, 1_000
 
 # -- alignment and filling from another frame
 
@@ -86,23 +92,105 @@ def autocorr(df: DataFrame, column: str, order: str, by: list[str], lag: int = 1
     return x.groupBy(*by).agg(F.corr(column, "__p").alias("autocorr"))
 
 
-def kendall(df: DataFrame, a: str, b: str, by: list[str], most: int = 5_000) -> DataFrame:
-    """(by, kendall): tau-b per group; groups of more than `most` rows raise, as pairs are counted."""
-    import pandas as pd
+def inversions(q: np.ndarray) -> int:
+    """How many pairs of different numbers are in falling order, in n log n: bit by bit, ones before zeros of one prefix."""
+    if len(q) < 2:
+        return 0
+    x = np.empty(len(q), np.int64)
+    x[np.argsort(q)] = np.arange(len(q))
+    total = 0
+    for bit in reversed(range(int(len(q) - 1).bit_length())):
+        one = x >> bit & 1
+        ones = np.cumsum(one)
+        prefix = x >> (bit + 1)  # rows of a prefix lie side by side
+        start = np.searchsorted(prefix, prefix)
+        before = np.where(start > 0, ones[start - 1], 0)
+        total += int(((ones - before) * (1 - one)).sum())
+        x = x[np.argsort(x >> bit, kind="stable")]
+    return total
+
+
+def kendall(df: DataFrame, a: str, b: str, by: list[str], most: int | None = None, block: int = 100_000) -> DataFrame:
+    """(by, kendall): tau-b per group, exact; null where a column doesn't vary. Rows with a missing value take no part.
+
+    Groups of up to `block` rows are counted in one task each, in n log n; larger ones over blocks of rows. With `most`,
+    groups of more rows raise.
+    """
+    kinds = dict(df.dtypes)
+    missing = lambda c: F.col(c).isNull() | F.isnan(c) if kinds[c] in ("float", "double") else F.col(c).isNull()
+    x = df.select(*[F.col(c).alias(f"g{i}") for i, c in enumerate(by)], F.col(a).alias("a"), F.col(b).alias("b"), (~(missing(a) | missing(b))).alias("ok")).filter("ok").drop("ok")
+    g = [f"g{i}" for i in range(len(by))]
+    names = [F.col(k).alias(c) for k, c in zip(g, by)]
+    head = "".join(f"{k} {kinds[c]}, " for k, c in zip(g, by))
+    hot = x.groupBy(*g).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > (block if most is None else min(block, most)))
+    hot = materialize(hot, "kendall")
+    if most is not None and (worst := hot.agg(F.max("n")).first()[0] or 0) > most:
+        raise ValueError(f"a group of {worst} rows; the bound is {most}")
 
     def tau(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[a, b])
-        if len(pdf) > most:
-            raise ValueError(f"a group of {len(pdf)} rows; the bound is {most}")
-        import numpy as np
-
-        x, y = np.sign(np.subtract.outer(pdf[a].to_numpy(), pdf[a].to_numpy())), np.sign(np.subtract.outer(pdf[b].to_numpy(), pdf[b].to_numpy()))
-        n = np.sqrt(float((x * x).sum()) * float((y * y).sum()))
-        head = pdf[by].head(1) if len(pdf) else pdf[by]
-        return head.assign(kendall=float((x * y).sum()) / n if n else None)
-
-    kinds = dict(df.dtypes)
-    return df.select(*by, a, b).groupBy(*by).applyInPandas(tau, ", ".join(f"{c} {kinds[c]}" for c in by) + ", kendall double")
+        v, w = (np.unique(pdf[c].to_numpy(), return_inverse=True)[1].astype(np.int64) for c in ("a", "b"))
+        n, both = len(v), np.unique(v * (int(w.max()) + 1) + w, return_counts=True)[1]
+        tied = lambda t: int((t * (t - 1)).sum())
+        pairs, ta, tb = n * (n - 1), tied(np.bincount(v)), tied(np.bincount(w))
+        o = np.lexsort((w, v))
+        q = np.empty(n, np.int64)
+        q[np.argsort(w[o], kind="stable")] = np.arange(n)
+        surplus = pairs - ta - tb + tied(both) - 4 * inversions(q)
+        norm = np.sqrt(float(pairs - ta) * float(pairs - tb))
+        return pdf[g].head(1).assign(kendall=float(surplus) / norm if norm else None)
+
+    if hot.isEmpty():
+        return x.groupBy(*g).applyInPandas(tau, head + "kendall double").select(*names, "kendall")
+    gid = materialize(position(hot, g, "gid").select("gid", "n", *[F.col(k).alias(f"h{k}") for k in g]), "kendall")
+    same = F.lit(True)
+    for k in g:
+        same = same & F.col(k).eqNullSafe(F.col(f"h{k}"))
+    few = F.broadcast(gid) if gid.count() <= MAX_GROUPS else gid
+    cold = x.join(few, same, "left_anti").groupBy(*g).applyInPandas(tau, head + "kendall double")
+    large = _kendall_blocks(x.join(few, same).select("gid", "n", "a", "b"), block)
+    return cold.unionByName(large.join(gid, "gid").select(*[F.col(f"h{k}").alias(k) for k in g], "kendall")).select(*names, "kendall")
+
+
+def _kendall_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """(gid, kendall) of rows (gid, n: rows of the group, a, b), no task holding more than about a block of them.
+
+    p is the place in order of a and b, q the place in order of b and p: then the discordant pairs are those in falling
+    order of q along p, ties being in rising order. Both are cut into blocks. Pairs of one p block are counted in it,
+    pairs of one q block and two p blocks in that q block, and all others by the number of rows in each pair of blocks.
+    """
+    size = F.greatest(F.lit(block), F.ceil(F.col("n") / BLOCKS)).cast("long")
+    p = materialize(position(rows, ["gid", "a", "b"], "p"), "kendall")
+    q = materialize(position(p, ["gid", "b", "p"], "q"), "kendall")
+    first = q.groupBy("gid").agg(F.min("p").alias("s"))  # groups lie at the same places in both orders
+    q = materialize(q.join(F.broadcast(first) if first.count() <= MAX_GROUPS else first, "gid").select("gid", "p", "q", F.expr("p - s").alias("x"), F.expr("q - s").alias("y"), size.alias("size")).select("gid", "p", "q", F.expr("x div size").alias("pb"), F.expr("y div size").alias("qb")), "kendall")
+
+    def inside(order: list[str]):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            y = pdf.sort_values(order)["q"].to_numpy()
+            return pdf[["gid"]].head(1).assign(d=inversions(y))
+
+        return run
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.zeros((int(pdf.pb.max()) + 1, int(pdf.qb.max()) + 1), np.int64)
+        m[pdf.pb.to_numpy(), pdf.qb.to_numpy()] = pdf.c.to_numpy()
+        later = m[:, ::-1].cumsum(axis=1)[:, ::-1] - m  # rows of the same p block in later q blocks
+        before = later.cumsum(axis=0) - later
+        return pdf[["gid"]].head(1).assign(d=int((m * before).sum()))
+
+    d = q.groupBy("gid", "pb").applyInPandas(inside(["p"]), "gid long, d long")
+    d = d.unionByName(q.groupBy("gid", "qb").applyInPandas(inside(["pb", "q"]), "gid long, d long"))
+    d = d.unionByName(q.groupBy("gid", "pb", "qb").agg(F.count(F.lit(1)).alias("c")).groupBy("gid").applyInPandas(across, "gid long, d long"))
+    d = d.groupBy("gid").agg(F.sum(F.col("d").cast("decimal(38,0)")).alias("d"))
+    out = d.join(rows.groupBy("gid").agg(F.first("n").alias("n")), "gid")
+    for name, cols in (("ta", ["a"]), ("tb", ["b"]), ("tab", ["a", "b"])):
+        n = F.col("count").cast("decimal(19,0)")
+        out = out.join(p.groupBy("gid", *cols).count().groupBy("gid").agg(F.sum((n * (n - 1)).cast("decimal(38,0)")).alias(name)), "gid")
+    n = F.col("n").cast("decimal(19,0)")
+    pairs = (n * (n - 1)).cast("decimal(38,0)")
+    surplus = (pairs - F.col("ta") - F.col("tb") + F.col("tab") - 4 * F.col("d")).cast("double")
+    norm = F.sqrt((pairs - F.col("ta")).cast("double") * (pairs - F.col("tb")).cast("double"))
+    return out.select("gid", F.try_divide(surplus, norm).alias("kendall"))
 
 
 def dot(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -53,6 +53,29 @@ def test_statistics(spark):
         lb.kendall(s, "x", "y", ["g"], 5).collect()
 
 
+def _tau(x, y):
+    s, t = np.sign(np.subtract.outer(x, x)), np.sign(np.subtract.outer(y, y))
+    n = np.sqrt(float((s * s).sum()) * float((t * t).sum()))
+    return float((s * t).sum()) / n if n else None
+
+
+@pytest.mark.parametrize("block", [100_000, 70])
+def test_kendall_of_any_group(spark, block):
+    """A group over the former bound of 5,000 rows, ties, missing values, a null key; in one task each and over blocks."""
+    r = np.random.default_rng(4)
+    g = [(1, 6_000, 50), (2, 150, 4), (3, 20, 9), (4, 90, 1), (None, 300, 40), (5, 1, 5)]
+    rows, want = [], {}
+    for key, n, values in g:
+        x = r.integers(0, values * 3, n)
+        y = np.round(x * 0.3 + r.integers(0, values, n) - values / 2, 0) + 0.0
+        want[key] = _tau(x, y)
+        rows += [(key, int(u), float(v)) for u, v in zip(x, y)] + [(key, None, 1.0), (key, 3, None), (key, 3, float("nan"))]
+    rows.append((6, None, 1.0))
+    s = spark.createDataFrame(rows, "g int, x long, y double").repartition(5)
+    got = lb.kendall(s, "x", "y", ["g"], block=block).collect()
+    assert len(got) == len(want) and {q.g: q.kendall for q in got} == pytest.approx(want, abs=1e-12)
+
+
 def _scipy():
     try:
         import scipy  # noqa: F401
