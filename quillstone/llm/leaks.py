@@ -18,7 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quillstone.session import materialize
 
@@ -182,11 +182,10 @@ def exact_leaks(found: DataFrame) -> DataFrame:
 def template_leaks(found: DataFrame) -> DataFrame:
     """Leaks of either kind: (corpus, row_id, item_id, exact, n_windows, n_items).
 
-    A window with equal words counts for the items it is equal to. Any other counts for the smallest of the items whose
-    slots it fits, as those of one template can't be told apart; n_items is the largest number of them.
+    A window counts for every item whose slots it fits, as those of one template can't be told apart. exact: some window
+    has the very words of the item; n_items is the largest number of items that one of the windows fits.
     """
     at = ["corpus", "row_id", "pos"]
-    w = found.filter("consistent").groupBy(*at).agg(F.sort_array(F.collect_set(F.when(F.col("exact"), F.col("item_id")))).alias("same"), F.min("item_id").alias("least"), F.countDistinct("item_id").alias("n"))
-    exact = F.size("same") > 0
-    w = w.select("corpus", "row_id", F.explode(F.when(exact, F.col("same")).otherwise(F.array("least"))).alias("item_id"), exact.alias("exact"), F.when(exact, F.size("same")).otherwise(F.col("n")).alias("n"))
+    w = found.filter("consistent").groupBy(*at, "item_id").agg(F.bool_or("exact").alias("exact"))
+    w = w.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*at)))
     return w.groupBy("corpus", "row_id", "item_id").agg(F.bool_or("exact").alias("exact"), F.count(F.lit(1)).alias("n_windows"), F.max("n").alias("n_items"))

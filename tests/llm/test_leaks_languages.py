@@ -44,6 +44,15 @@ def test_leaks(spark, tmp_path):
     assert again and not any(r.exact for r in again)  # the re-parameterised one
 
 
+def test_every_item_of_a_template_is_named(spark, tmp_path):
+    """Each document's windows fit all three items of one template; one document has the very words of the second."""
+    items = [(i, TEXT.replace("polar jetty", x).replace("21", str(i)), None, None) for i, x in ((1, "polar jetty"), (2, "amber gate"), (3, "icy barge"))]
+    docs = [(1, TEXT.replace("polar jetty", "red door").replace("21", "99")), (2, items[1][1])]
+    _leak_tables(spark, tmp_path, docs, [], items)
+    got = {(r.row_id, r.item_id): (r.exact, r.n_items) for r in QUERIES["p3_templates"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 1): (False, 3), (1, 2): (False, 3), (1, 3): (False, 3), (2, 1): (False, 3), (2, 2): (True, 3), (2, 3): (False, 3)}
+
+
 def test_leaks_without_key_filter(spark, tmp_path, monkeypatch):
     _leak_tables(spark, tmp_path, [(1, TEXT)], [], [(1, TEXT, TEXT, None)])
     monkeypatch.setattr(leaks, "MAX_KEYS", 0)
