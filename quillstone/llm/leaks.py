@@ -3,7 +3,8 @@
 Words become a template: words that many test items share stay, numbers, names and units become typed placeholders.
 Windows of ten template words are hash-joined between the test set and the corpus. A joined window is a leak if its
 words are equal, and a re-parameterised leak if its slots can be mapped one to one onto the slots of the test item.
-A window with too few template words to mean anything is joined by its very words.
+A window with too few template words keeps its ordinary words: only numbers, units and identifiers become placeholders
+there, then only numbers and units. One with too few words left even so is joined by its very words.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quillstone.session import materialize
 
-#: Words of a window, and template words that one needs to be joined as a template.
+#: Words of a window, and template words (or else ordinary words) that one needs to be joined with placeholders.
 WIDTH, LEAST_TEMPLATE = 10, 4
 #: Share of test items (and their least number) that must have a word for it to belong to the template.
 TEMPLATE_SHARE, TEMPLATE_ITEMS = 0.05, 3
@@ -36,8 +37,9 @@ KEEP = 300_000
 
 _WORD = re.compile(r"\w+")
 _NUMBER = re.compile(r"[0-9][0-9_]*(?:e[0-9]+)?\Z")
+_IDENTIFIER = re.compile(r"\w*[_0-9]\w*\Z")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_LITERAL = np.uint64(0xC2B2AE3D27D4EB4F)
+_LITERAL, _TYPED, _NUMBERS = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x27D4EB2F165667C5), np.uint64(0x85EBCA77C2B2AE63)
 
 
 @lru_cache(maxsize=1)
@@ -57,7 +59,7 @@ class Templates:
 
     def __init__(self, template: frozenset[str]):
         self.template = template
-        self.known: dict[str, tuple[int, int, int]] = {}
+        self.known: dict[str, tuple[int, int, int, int, int, int, int]] = {}
 
     def kind(self, w: str) -> str:
         """The word itself if it belongs to the template, else its placeholder."""
@@ -65,14 +67,19 @@ class Templates:
             return w
         return "<number>" if _NUMBER.match(w) else "<unit>" if w in UNITS else "<name>"
 
-    def code(self, w: str) -> tuple[int, int, int]:
-        """(exact code, template code, 1 if the word belongs to the template)."""
+    def typed(self, w: str, identifiers: bool) -> str:
+        """The word itself if it is an ordinary one, else the placeholder of its type."""
+        return "<number>" if _NUMBER.match(w) else "<unit>" if w in UNITS else "<identifier>" if identifiers and _IDENTIFIER.match(w) else w
+
+    def code(self, w: str) -> tuple[int, int, int, int, int, int, int]:
+        """Codes of the word: exact, in the template, typed, typed but for identifiers; and 1 if it stays in each of the last three."""
         got = self.known.get(w)
         if got is None:
             if len(self.known) >= KEEP:
                 self.known.clear()
             h = xxhash.xxh3_64_intdigest
-            got = self.known[w] = (h(w), h(self.kind(w)), int(w in self.template))
+            forms = self.kind(w), w if w in self.template else self.typed(w, True), w if w in self.template else self.typed(w, False)
+            got = self.known[w] = (h(w), *(h(x) for x in forms), int(w in self.template), int(forms[1] == w), int(forms[2] == w))
         return got
 
     def keys(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,12 +92,18 @@ class Templates:
         code = self.code
         flat = np.array([code(w) for t in texts for w in t], np.uint64)
         m = n - WIDTH + 1
-        exact, shape = np.zeros(m, np.uint64), np.zeros(m, np.uint64)
-        for k in range(WIDTH):
-            exact = exact * _BASE + flat[k : k + m, 0]
-            shape = shape * _BASE + flat[k : k + m, 1]
-        total = np.concatenate([[0], np.cumsum(flat[:, 2].astype(np.int64))])
-        key = np.where(total[WIDTH:] - total[:m] >= LEAST_TEMPLATE, shape, exact ^ _LITERAL)
+        # by their template, else with typed placeholders, else with those of numbers and units; windows whose words are
+        # equal, or equal but for placeholders, have the same way as they have the same words left
+        key = np.zeros(m, np.uint64)
+        left = np.ones(m, bool)
+        for form, stays, salt in ((1, 4, np.uint64(0)), (2, 5, _TYPED), (3, 6, _NUMBERS), (0, None, _LITERAL)):
+            total = None if stays is None else np.concatenate([[0], np.cumsum(flat[:, stays].astype(np.int64))])
+            at = np.nonzero(left if total is None else left & (total[WIDTH:] - total[:m] >= LEAST_TEMPLATE))[0]
+            h = np.zeros(len(at), np.uint64)
+            for k in range(WIDTH if len(at) else 0):
+                h = h * _BASE + flat[at + k, form]
+            key[at] = h ^ salt
+            left[at] = False
         text = np.repeat(np.arange(len(texts)), sizes)
         place = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         ok = place[:m] + WIDTH <= sizes[text[:m]]

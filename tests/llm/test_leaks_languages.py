@@ -53,6 +53,17 @@ def test_every_item_of_a_template_is_named(spark, tmp_path):
     assert got == {(1, 1): (False, 3), (1, 2): (False, 3), (1, 3): (False, 3), (2, 1): (False, 3), (2, 2): (True, 3), (2, 3): (False, 3)}
 
 
+def test_wording_of_its_own_is_caught_with_another_number(spark, tmp_path):
+    """No word of the items is a template word; a changed number, unit or identifier joins all the same, a changed word doesn't."""
+    own = "drop sensor readings above 40 seconds from col_a whenever voltage"
+    code = "x.f_1 g_2 h_3 i_4 j_5 7 k_6 l_7 m_8"
+    docs = [(1, own.replace("40", "55")), (2, own.replace("seconds", "hours").replace("col_a", "col_b")), (3, own.replace("voltage", "pressure")), (4, own), (5, code.replace(" 7 ", " 9 "))]
+    _leak_tables(spark, tmp_path, docs, [], [(1, own, None, None), (2, None, code, None)])
+    got = {(r.row_id, r.item_id, r.exact) for r in QUERIES["p3_templates"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 1, False), (2, 1, False), (4, 1, True), (5, 2, False)}
+    assert [tuple(r) for r in QUERIES["p3_found"](spark, str(tmp_path)).collect()] == [("documents", 4, 1)]
+
+
 def test_leaks_without_key_filter(spark, tmp_path, monkeypatch):
     _leak_tables(spark, tmp_path, [(1, TEXT)], [], [(1, TEXT, TEXT, None)])
     monkeypatch.setattr(leaks, "MAX_KEYS", 0)
