@@ -19,13 +19,46 @@ def reference():
 def test_encode_equals_reference_and_round_trips(reference):
     import random
 
-    a, r = bpe.automaton(PATH), random.Random(5)
+    a, r = bpe.automaton(bpe.compiled(PATH)), random.Random(5)
     bits = ["aaaa", "ab", "the", "zzz", "==", "----", "   ", "\n", "é", "日本", "😀", "ing", "ization", "'s", "1234", "​", "<|endoftext|>"]
     for s in ["", *["a" * n for n in range(1, 60)], *["".join(r.choice(bits) for _ in range(r.randint(1, 25))) for _ in range(2000)]]:
         assert a.encode(s) == reference(s)
         assert a.decode(a.encode(s)) == s
 
 
+def _merged(word, merges):
+    """The merge procedure itself: the first merge that applies, everywhere from the left, until none does."""
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while True:
+        found = next((m for m in merges if any(p == m for p in zip(parts, parts[1:]))), None)
+        if found is None:
+            return parts
+        out, i = [], 0
+        while i < len(parts):
+            hit = tuple(parts[i : i + 2]) == found
+            out.append(b"".join(parts[i : i + 1 + hit]))
+            i += 1 + hit
+        parts = out
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_gadgets_equal_the_merge_procedure_on_small_vocabularies(seed):
+    import itertools
+    import random
+
+    r, tokens, merges = random.Random(seed), [b"a", b"b"], []
+    while len(merges) < 9:
+        a, b = (r.choice(tokens[: 2 + len(merges)]) for _ in range(2))
+        if a + b not in tokens and (a, b) not in merges and _merged(a + b, merges) == [a, b]:
+            merges.append((a, b))
+            tokens.append(a + b)
+    made = bpe.automaton(bpe.compile_automaton(dict(enumerate(tokens)), merges))
+    for n in range(1, 9):
+        for w in itertools.product(b"ab", repeat=n):
+            word = bytes(w)
+            assert [tokens[i] for i in made.run(word)] == _merged(word, merges)
+
+
 def test_encode_table_edge_cases(spark):
     long = "word " * 50_000
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (None, " \n", "x"), (4, long, None), (4, long, None)], "doc_id long, text string, ids string")
