@@ -25,10 +25,11 @@ MAX_CONTEXTS = 1_000_000
 KEEP = 300_000
 
 _INVISIBLE = "­​‌‍⁠﻿"
-_TAIL = re.compile(rf"[\s{_INVISIBLE}]+\Z")
+_BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace()) + _INVISIBLE
 _TOKEN = re.compile(r"`[^`\n]*`|\w+(?:['’]\w+)*|[.!?]+(?=[\s)\"'”’»\]*_]|\Z)|[^\w\s]")
-#: A mark that something was left out, at the end of a text.
-_OMITTED = re.compile(r"(?:\.{2,}|…|[\[(]\s*(?:\.{2,}|…|truncated|cut|continued|unfinished|snip|more)\s*[\])]?|<(?:truncated|cut|snip)>)\Z", re.I)
+#: A mark in brackets that something was left out, at the end of a text; dots need none.
+_OMITTED = re.compile(r"[\[(]\s*(?:\.{2,}|…|truncated|cut|continued|unfinished|snip|more)\s*[\])]?|<(?:truncated|cut|snip)>", re.I)
+_FILLED = re.compile(r"`[^`\n]*`|\d+")
 _STOPPED = re.compile(r"[.!?。][)\"'”’»\]*_]*\Z")
 #: Codes of a final stop and of a mark of omission, which tells nothing of sentence ends.
 _STOP, _LEFT_OUT = 1, 2
@@ -37,8 +38,9 @@ _MASK = np.uint64(0x9E3779B97F4A7C15)
 
 def state_of(text: str) -> str:
     """`omitted` (a mark says so), `open` (an unclosed quote or bracket), `stop` (a final stop) or `none`."""
-    t = _TAIL.sub("", text)
-    if _OMITTED.search(t) and re.search(r"\w", t):
+    t = text.rstrip(_BLANKS)
+    marked = t.endswith(("..", "…")) or _OMITTED.fullmatch(t, max(0, *(t.rfind(x) for x in "[(<")))
+    if marked and re.search(r"\w", t):
         return "omitted"
     if t.count("`") % 2:
         return "open"
@@ -49,6 +51,11 @@ def state_of(text: str) -> str:
     return "stop" if stopped else "none"
 
 
+def shape(text: str) -> int:
+    """A hash of the text but for its numbers and quoted names: texts of one pattern are alike in length, too."""
+    return xxhash.xxh3_64_intdigest(_FILLED.sub("#", text).encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 class Contexts:
     """Codes of words and of the contexts that end at each of them."""
 
@@ -92,7 +99,7 @@ class Contexts:
 
 def last_contexts(texts: list[str], contexts: Contexts) -> list[list[int] | None]:
     """The hashes of the contexts in which each text ends, by order; null for a text without words."""
-    text, _, h = contexts.of([_TAIL.sub("", t) for t in texts])
+    text, _, h = contexts.of([t.rstrip(_BLANKS) for t in texts])
     out: list[list[int] | None] = [None] * len(texts)
     if len(text):
         ends = np.append(np.nonzero(text[1:] != text[:-1])[0], len(text) - 1)
@@ -157,15 +164,18 @@ def stop_probability(ends: DataFrame, texts: DataFrame, columns: list[str], key:
     return got.select(*key, p.alias("p_stop"), F.lit(base).alias("base"), (F.col("x")[0]["a"] > 0).alias("known"))
 
 
-def fit_censored(lengths: np.ndarray, counts: np.ndarray, limit: float | None) -> tuple[float, float]:
+def fit_censored(lengths: np.ndarray, counts: np.ndarray, limit: float | None, share: float | None = None) -> tuple[float, float]:
     """Mean and deviation of log length by maximum likelihood, lengths at or beyond `limit` being censored there.
 
-    Expectation maximisation on the histogram; exact for no limit.
+    With `share`, only that share of the values at `limit` is censored, and none beyond it. Expectation maximisation on
+    the histogram; exact for no limit.
     """
     x, n = np.log(lengths.astype(float)), counts.astype(float)
-    censored = lengths >= limit if limit is not None else np.zeros(len(x), bool)
+    part = np.zeros(len(x))
+    if limit is not None:
+        part = (lengths >= limit).astype(float) if share is None else np.where(lengths == limit, share, 0.0)
     mu, sigma = float(np.average(x, weights=n)), max(0.05, float(np.sqrt(np.average((x - np.average(x, weights=n)) ** 2, weights=n))))
-    if not censored.any() or censored.all():
+    if not part.any() or part.all() and part.min() == 1.0:
         return mu, sigma
     c = math.log(limit)
     for _ in range(60):
@@ -174,9 +184,8 @@ def fit_censored(lengths: np.ndarray, counts: np.ndarray, limit: float | None) -
         hazard = math.exp(-a * a / 2) / math.sqrt(2 * math.pi) / tail
         m1 = mu + sigma * hazard
         m2 = mu * mu + sigma * sigma + sigma * (c + mu) * hazard
-        e1, e2 = np.where(censored, m1, x), np.where(censored, m2, x * x)
-        new_mu = float(np.average(e1, weights=n))
-        new_sigma = max(0.05, math.sqrt(max(0.0, float(np.average(e2, weights=n)) - new_mu * new_mu)))
+        new_mu = float(np.average(part * m1 + (1 - part) * x, weights=n))
+        new_sigma = max(0.05, math.sqrt(max(0.0, float(np.average(part * m2 + (1 - part) * x * x, weights=n)) - new_mu * new_mu)))
         if abs(new_mu - mu) + abs(new_sigma - sigma) < 1e-7:
             break
         mu, sigma = new_mu, new_sigma
@@ -184,30 +193,51 @@ def fit_censored(lengths: np.ndarray, counts: np.ndarray, limit: float | None) -
 
 
 def limits_of(lengths: np.ndarray, counts: np.ndarray, least: int = 4, factor: float = 6.0) -> list[tuple[int, float]]:
-    """(limit, posterior that a value of that length was cut) at the candidate limits of one source.
+    """(limit, posterior that a value of that length was cut) at the limits of one source.
 
-    A candidate is a length that all but 0.2 % of the values keep to, with at least `least` values and `factor` times
-    what the distribution fitted with censoring there leads one to expect at that very length.
+    Every length with at least `least` values and `factor` times what its neighbours have is a candidate. A share of the
+    source's values is subject to a limit: all of them, or those of a feed or of a time. With S the tail and f the
+    density of the lengths fitted with censoring there, the likelihood of the share w is that of the values at the limit
+    (f + w S) and of those beyond it (1 - w); the candidate is a limit if the best w is so much likelier than 0 that it
+    stands out among all lengths.
     """
     o = np.argsort(lengths)
     lengths, counts = lengths[o], counts[o]
     keep = lengths > 0
     lengths, counts = lengths[keep], counts[keep]
+    if not len(lengths):
+        return []
     total, out = counts.sum(), []
-    beyond = total - np.cumsum(counts)
-    for v, n in zip(lengths[(counts >= least) & (beyond <= 0.002 * total)], counts[(counts >= least) & (beyond <= 0.002 * total)]):
-        mu, sigma = fit_censored(lengths, counts, float(v))
-        z = (math.log(v) - mu) / sigma
-        density = math.exp(-z * z / 2) / (math.sqrt(2 * math.pi) * sigma * v)
-        near = counts[(lengths >= v - 12) & (lengths < v)].sum() / 12
-        if n >= factor * max(total * density, near, 0.25):
-            tail = 0.5 * math.erfc(z / math.sqrt(2))
-            out.append((int(v), float(min(tail / (tail + density), 1 - 0.5 / (n + 1)))))
+    beyond, before = total - np.cumsum(counts), np.concatenate([[0], np.cumsum(counts)])
+    around = before[np.searchsorted(lengths, lengths + 12, "right")] - before[np.searchsorted(lengths, lengths - 12, "left")] - counts
+    below = before[np.arange(len(lengths))] - before[np.searchsorted(lengths, lengths - 12, "left")]
+    near = np.maximum(below / 12, np.where(beyond > 0.002 * total, around / 24, 0))  # none lie behind a limit for all
+    spikes = (counts >= least) & (counts >= factor * np.maximum(near, 0.25))
+    for v, n, more, by in zip(lengths[spikes].tolist(), counts[spikes].tolist(), beyond[spikes].tolist(), near[spikes].tolist()):
+        all_ = more <= 0.002 * total  # then those beyond are taken for errors of storage
+        w = share = 1.0
+        for _ in range(3):
+            mu, sigma = fit_censored(lengths, counts, float(v), None if all_ else share)
+            z = (math.log(v) - mu) / sigma
+            density = math.exp(-z * z / 2) / (math.sqrt(2 * math.pi) * sigma * v)
+            tail = max(1e-12, 0.5 * math.erfc(z / math.sqrt(2)))
+            usual = max(density, by / total, 0.25 / total)
+            r = tail / usual
+            w = 1.0 if all_ else min(1.0, max(0.0, (n * r - more) / (r * (n + more))))
+            share = w * tail / (usual + w * tail)
+            if all_ or not share:
+                break
+        if n < factor * max(total * density, by, 0.25) or not share:
+            continue
+        gain = n * math.log1p(w * r) + (0.0 if all_ else more * math.log1p(-min(w, 1 - 1e-12)))
+        if gain > math.log(len(lengths)) + SURE:
+            p = tail / (tail + density) if all_ else share
+            out.append((int(v), float(min(p, 1 - 0.5 / (n + 1)))))
     return out
 
 
 def limits(values: DataFrame) -> DataFrame:
-    """(source, field, n_chars, p_cut) of the candidate limits of each source and field of `values`."""
+    """(source, field, n_chars, p_cut) of the limits of each source and field of `values`; h is the shape of the text."""
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -218,24 +248,41 @@ def limits(values: DataFrame) -> DataFrame:
             cols = list(zip(*rows)) or [(), (), (), ()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.float64()))], names=["source", "field", "n_chars", "p_cut"])
 
-    # a histogram per source and field: as many entries as there are lengths
-    h = values.groupBy("source", "field", "n_chars").agg(F.count(F.lit(1)).alias("n")).groupBy("source", "field").agg(F.collect_list(F.struct("n_chars", "n")).alias("hist"))
+    # a histogram per source and field: as many entries as there are lengths; texts of equal shape count once, they are no spike
+    once = values.select("source", "field", "n_chars", "h").distinct()
+    h = once.groupBy("source", "field", "n_chars").agg(F.count(F.lit(1)).alias("n")).groupBy("source", "field").agg(F.collect_list(F.struct("n_chars", "n")).alias("hist"))
     return h.mapInArrow(fit, "source string, field string, n_chars long, p_cut double")
 
 
-#: Prior odds of a cut text; share of complete texts with a stop, of mid-word cuts among cuts, and of words that are
-#: new to the model among ends of complete texts; odds of a cut after trailing white space.
+#: Prior odds of a cut text; share of mid-word cuts among cuts, and of words that are new to the model among ends of
+#: complete texts; odds of a cut after trailing white space.
 PRIOR, NEW_IF_CUT, NEW_IF_WHOLE, BLANK = 0.1, 0.5, 0.02, 6.0
+#: How much likelier a mark of omission, and an unclosed quote or bracket, is in a cut text than in a whole one; share of
+#: cut texts that end in a stop; share of texts ending in a stop whose last sentence is not complete all the same.
+MARKED, UNCLOSED, STOP_IF_CUT, STOP_INSIDE = 5_000.0, 2_000.0, 0.03, 0.01
+#: Log likelihood by which a limit must beat the luckiest of all lengths.
+SURE = 3.0
 
 
-def cut_probability(p_stop: Column, base: Column, known: Column, stop_rate: Column, p_limit: Column, blank: Column) -> Column:
-    """Posterior that a text without a final stop was cut: prior, source, last contexts, limit and white space."""
-    log_odds = (
-        F.lit(math.log(PRIOR / (1 - PRIOR)))
+def cut_probability(state: Column, p_stop: Column, base: Column, known: Column, stop_rate: Column, p_limit: Column, blank: Column) -> Column:
+    """Posterior that a text is incomplete because it was cut.
+
+    The log odds of a cut add up the prior, the censoring posterior at the limits of the source, and the evidence of the
+    ending: a mark of omission, an open quote or bracket, a stop (all by how much likelier they are in cut texts), or
+    else the last contexts, how often the source writes stops, and trailing white space. A text that was cut is
+    incomplete unless the cut came right behind a sentence, which a stop tells.
+    """
+    plain = (
+        F.when(known, F.log(F.greatest(base, F.lit(1e-6)) / F.greatest(p_stop, F.lit(1e-6)))).otherwise(F.lit(math.log(NEW_IF_CUT / NEW_IF_WHOLE)))
         - F.log(F.greatest(F.lit(1.0) - stop_rate, F.lit(0.002)))
-        + F.when(known, F.log(F.greatest(base, F.lit(1e-6)) / F.greatest(p_stop, F.lit(1e-6)))).otherwise(F.lit(math.log(NEW_IF_CUT / NEW_IF_WHOLE)))
         + F.when(blank, F.lit(math.log(BLANK))).otherwise(F.lit(0.0))
     )
+    ending = (
+        F.when(state == "omitted", F.lit(math.log(MARKED))).when(state == "open", F.lit(math.log(UNCLOSED)))
+        .when(state == "stop", F.log(F.lit(STOP_IF_CUT) / F.greatest(stop_rate, F.lit(0.002)))).otherwise(plain)
+    )
+    prior = F.lit(math.log(PRIOR / (1 - PRIOR)))
     limit = F.coalesce(p_limit, F.lit(0.0))
-    log_odds = log_odds + F.when(limit > 0, F.log(limit / (F.lit(1.0) - limit)) - F.lit(math.log(PRIOR / (1 - PRIOR)))).otherwise(F.lit(0.0))
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-log_odds))
+    censored = F.when(limit > 0, F.log(limit / (F.lit(1.0) - limit)) - prior).otherwise(F.lit(0.0))
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(prior + censored + ending)))
+    return p * F.when(state == "stop", F.lit(STOP_INSIDE)).otherwise(F.lit(1.0))

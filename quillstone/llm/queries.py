@@ -37,6 +37,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return answers.cut_values(answers.judged(table(spark, d, "autodoc_results"), answers.LISTS))
 
 
+def p4_method(spark: SparkSession, d: str) -> DataFrame:
+    """The censoring posterior alone, of every value with content."""
+    return answers.censoring(answers.judged(table(spark, d, "autodoc_results"), answers.LISTS))
+
+
 def p4_rates(spark: SparkSession, d: str) -> DataFrame:
     """How often each source cuts each field, and at which lengths."""
     return answers.cut_rates(answers.judged(table(spark, d, "autodoc_results"), answers.LISTS))
@@ -124,6 +129,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p3_found": p3_found,
     "p3_templates": p3_templates,
+    "p4_method": p4_method,
     "p4_found": p4_found,
     "p4_rates": p4_rates,
     "p5_found": p5_found,

@@ -43,7 +43,7 @@ def test_refusal(text):
     assert answers.is_refusal(text)
 
 
-@pytest.mark.parametrize("text", ["Raise an error if the file cannot be read.", "Sorry-looking labels are left alone.", "Replace values that can't be parsed.", "Help text is shown for rows that the parser refuses to read.", "Describe the table and provide a summary."])
+@pytest.mark.parametrize("text", ["Raise an error if the file cannot be read.", "Sorry-looking labels are left alone.", "Replace values that can't be parsed.", "Help text is shown for rows that the parser refuses to read.", "Describe the table and provide a summary.", "Sorry rows by date", "Unfortunately sorted", "We must access each column", "Please provide the data sorted by date", "We cannot see negative values after filtering"])
 def test_no_refusal(text):
     assert not answers.is_refusal(text)
 
@@ -51,6 +51,7 @@ def test_no_refusal(text):
 def test_foreign():
     p = languages.Profiles(languages.fit([]))
     assert answers.is_foreign("Sortiert die Zeilen nach `a_b` und berechnet den Mittelwert.", p) and answers.is_foreign("Удаляет строки, где значение не найдено.", p)
+    assert answers.is_foreign("按日期排序", p) and answers.is_foreign("並べ替え `df`", p) and answers.is_foreign("для этого", p)
     assert not answers.is_foreign("Sort the rows by `a_b` and compute the mean.", p) and not answers.is_foreign("Use it for the café data.", p) and not answers.is_foreign("`x`", p)
 
 
@@ -71,6 +72,45 @@ def test_censored_fit_recovers_the_distribution():
     assert endings.limits_of(v, n) == [] and endings.limits_of(np.zeros(0, int), np.zeros(0, int)) == []
 
 
+def test_two_limits_in_one_source():
+    r = np.random.default_rng(5)
+    x = np.maximum(1, np.round(np.exp(r.normal(5.0, 0.5, 40_000)))).astype(int)
+    feed = r.random(len(x)) < 0.3  # one feed cuts earlier
+    v, n = np.unique(np.minimum(x, np.where(feed, 150, 400)), return_counts=True)
+    found = dict(endings.limits_of(v, n))
+    assert set(found) == {150, 400} and found[150] > 0.9 and found[400] > 0.8
+
+
+def test_one_posterior_for_all_endings(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("stop", None), ("stop", 0.9999), ("omitted", None), ("open", None), ("none", None), ("none", 0.99)]
+    df = spark.createDataFrame(rows, "state string, p_limit double")
+    p = endings.cut_probability(F.col("state"), F.lit(0.3), F.lit(0.05), F.lit(True), F.lit(0.9), F.col("p_limit"), F.lit(False))
+    assert [r.p > 0.5 for r in df.select(p.alias("p")).collect()] == [False, False, True, True, False, True]
+
+
+def test_long_texts_take_little_time():
+    import time
+
+    began = time.time()
+    for text in (" " * 300_000 + "a", "." * 300_000 + "a", "[" * 100_000 + "x", "n/a" + "-" * 300_000, "​" * 300_000 + "the end"):
+        answers.is_empty(text), endings.state_of(text), answers.is_refusal(text[:5_000])
+    assert time.time() - began < 20
+    assert answers.is_empty("n/a" + "-" * 70) and answers.is_empty("-" * 300_000) and not answers.is_empty("-" * 300 + "sort")
+
+
+def test_copies_of_any_part_of_a_long_code():
+    r = random.Random(3)
+    words = [f"w{r.randrange(10**6)}" for _ in range(260_000)]
+    copies = answers.Copies(" ".join(words))
+    for at in (0, 130_000, 250_000):
+        part = words[at : at + 5_000]
+        part[::50] = ["edited"] * len(part[::50])
+        assert copies.novelty(" ".join(part)) < 0.1 and copies.is_copy(" ".join(part))
+    assert not copies.is_copy(" ".join(f"v{r.randrange(10**6)}" for _ in range(500)))
+
+
 def _made(n, seed=1):
     """Two sources, one with final stops and a limit of 90, one without stops; some of the second cut at random."""
     r, rows, cut = random.Random(seed), [], set()
