@@ -102,6 +102,33 @@ def test_fair_mix_equals_brute_force(spark, rows):
     assert all(r.repeats <= r.max_repeats for r in got.values())
 
 
+def test_uneven_shares_leave_no_hot_range(spark):
+    """Shares of 0.999 and 0.001 over equal tokens: ranges of the global order keep to equal numbers of rows."""
+    from pyspark.sql import functions as F
+
+    n = 20_000
+    docs = spark.range(2 * n).select(F.when(F.col("id") < n, "big").otherwise("tiny").alias("source"), F.col("id").alias("doc_id"), F.lit(10).alias("n_tokens"))
+    td = spark.createDataFrame([("big", 0.999, 3), ("tiny", 0.001, 1)], "source string, target_share double, max_repeats int")
+    seen = {}
+    real = mixing.materialize
+    mixing.materialize = lambda df, name="part": seen.setdefault(name, real(df, name))
+    try:
+        mix = mixing.fair_mix(docs, td, budget=300_000)
+    finally:
+        mixing.materialize = real
+    sizes = sorted(r["count"] for r in seen["p9r"].groupBy("part").count().collect())
+    assert sizes[-1] <= 3 * sizes[len(sizes) // 2] and seen["p9r"].filter("source = 'big'").count() == 3 * n
+    got = mix.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()
+    assert {r.source: r.t for r in got} == {"big": 299_700, "tiny": 300}
+
+
+def test_copies_stop_with_the_budget(spark):
+    docs = spark.createDataFrame([("a", i, 10) for i in range(100)] + [("b", 100 + i, 10) for i in range(100)], "source string, doc_id long, n_tokens long")
+    td = spark.createDataFrame([("a", 0.5, 100_000), ("b", 0.5, 100_000)], "source string, target_share double, max_repeats int")
+    got = mixing.fair_mix(docs, td, budget=3_000).collect()
+    assert sum(r.n_tokens for r in got) == 3_000 and {r.copy for r in got} == {0, 1}
+
+
 def test_fair_mix_empty(spark):
     td = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
     assert mixing.fair_mix(spark.createDataFrame([], "source string, doc_id long, n_tokens long"), td).collect() == []
