@@ -115,14 +115,13 @@ _bind_short = lru_cache(maxsize=8192)(_bind)
 
 
 def word_vector(w: str) -> tuple[np.ndarray, int]:
-    """The bundle of the n-grams of a word between blanks and of the whole word, and how many they are.
-
-    A word of more than 64 letters, no word of any language, counts by its first 64.
-    """
-    s = f" {w[:64]} "
-    grams = [_bind_short(s[i : i + n]) for n in GRAMS if n < len(s) for i in range(len(s) - n + 1)]
-    grams.append(_bind(s))
-    return np.sum(grams, axis=0, dtype=np.int32), len(grams)
+    """The bundle of the n-grams of a word between blanks and of the whole word, and how many they are."""
+    s = f" {w} "
+    grams = Counter(s[i : i + n] for n in GRAMS if n < len(s) for i in range(len(s) - n + 1))
+    total = _bind(s).astype(np.int32)
+    for g, n in grams.items():
+        total += _bind_short(g) if n == 1 else n * _bind_short(g).astype(np.int32)
+    return total, 1 + sum(grams.values())
 
 
 class Profiles:
@@ -204,19 +203,19 @@ def fit(sample: list[tuple[str, str]]) -> np.ndarray:
 def labelled_sample(docs: DataFrame, text_col: str, label_col: str, id_col: str, per_language: int = SAMPLE) -> list[tuple[str, str]]:
     """At most `per_language` rows of each language label, chosen by hash; texts of up to 20,000 characters.
 
-    A bound for fitting only: every text is scored whole.
+    A bound for fitting only: every text is scored whole. Two passes: one over the labels alone, for thresholds of the
+    hashes, and one over the texts.
     """
     plain = F.lower(F.substring_index(F.translate(F.trim(F.col(label_col)), "_", "-"), "-", 1))
-    rows = docs.filter(F.col(text_col).isNotNull() & (F.length(text_col) < 20_000)).select(plain.alias("l"), F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("t"))
-    rows = rows.filter(F.col("l").isin(*CODES))
     code = F.create_map(*[F.lit(x) for kv in CODES.items() for x in kv])
-    rows = rows.select(code[F.col("l")].alias("l"), "h", "t")
     # the smallest hashes per language: a threshold first, which leaves about twice as many rows as wanted
-    n = {r.l: r.n for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = {r.l: r.n for r in docs.select(code[plain].alias("l")).filter(F.col("l").isNotNull()).groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n:
         return []
     limit = {k: int(-(1 << 63) + 2.0 * per_language / v * ((1 << 64) - 1)) if v > 2 * per_language else (1 << 63) - 1 for k, v in n.items()}
-    few = rows.filter(F.col("h") <= F.create_map(*[F.lit(x) for kv in limit.items() for x in kv])[F.col("l")]).groupBy("l", "h").agg(F.min("t").alias("t"))
+    rows = docs.select(code[plain].alias("l"), F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("t"))
+    rows = rows.filter(F.col("t").isNotNull() & (F.length("t") < 20_000) & (F.col("h") <= F.create_map(*[F.lit(x) for kv in limit.items() for x in kv])[F.col("l")]))
+    few = rows.groupBy("l", "h").agg(F.min("t").alias("t"))
     few = few.withColumn("i", F.row_number().over(Window.partitionBy("l").orderBy("h"))).filter(F.col("i") <= per_language)
     return [(r.l, r.t) for r in few.orderBy("l", "h").select("l", "t").collect()]
 

@@ -1,8 +1,10 @@
 """Evaluation texts that leak into training text.
 
 Words become a template: words that many test items share stay, numbers, names and units become typed placeholders.
-Windows of ten template words are hash-joined between the test set and the corpus. A joined window is a leak if its
-words are equal, and a re-parameterised leak if its slots can be mapped one to one onto the slots of the test item.
+Windows of ten template words are hash-joined between the test set and the corpus. The slots of a re-parameterised leak
+must map one to one onto those of the test item: they do if and only if words recur at the same places of both windows,
+so the places of recurrence are part of the join, and windows with inconsistent slots never meet. A window with the very
+words of the item is an exact leak; its words are part of that join.
 A window with too few template words keeps its ordinary words: only numbers, units and identifiers become placeholders
 there, then only numbers and units. One with too few words left even so is joined by its very words.
 """
@@ -19,7 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillstone.session import materialize
 
@@ -27,9 +29,10 @@ from quillstone.session import materialize
 WIDTH, LEAST_TEMPLATE = 10, 4
 #: Share of test items (and their least number) that must have a word for it to belong to the template.
 TEMPLATE_SHARE, TEMPLATE_ITEMS = 0.05, 3
-#: Bounds for sending the test set's window keys and template words to every task. Beyond them the corpus windows are
-#: joined by a shuffle without that filter; the template is then made of the most frequent words within the bound.
-MAX_KEYS, MAX_TEMPLATE = 4_000_000, 100_000
+#: Bound for sending the test set's window keys to every task; beyond it the corpus windows are joined by a shuffle without
+#: that filter. Template words need no bound: as each belongs to TEMPLATE_SHARE of the items, they are at most
+#: 1 / TEMPLATE_SHARE times the mean number of different words of an item, however many items there are.
+MAX_KEYS = 4_000_000
 #: Units of measurement that are one kind of slot.
 UNITS = frozenset("ms s sec secs second seconds min mins minute minutes h hour hours day days week weeks month months year years b kb mb gb tb bytes percent pct px mm cm m km g kg t usd eur".split())
 #: Most words whose codes a worker keeps.
@@ -110,7 +113,16 @@ class Templates:
         return text[:m][ok], place[:m][ok], key[ok]
 
 
-WINDOWS = "row_id long, field string, pos long, key long, words array<string>"
+def recurrence(windows: list[list[str]]) -> list[int]:
+    """A hash of the places at which each window repeats a word: equal if and only if slots map one to one."""
+    out = []
+    for w in windows:
+        first = {x: i for i, x in reversed(list(enumerate(w)))}
+        out.append(0 if len(first) == len(w) else xxhash.xxh3_64_intdigest(bytes(first[x] for x in w)) >> 1)
+    return out
+
+
+WINDOWS = "row_id long, field string, pos long, key long, slots long, words array<string>"
 
 
 def windows(df: DataFrame, id_col: str, fields: list[str], template: frozenset[str], only: np.ndarray | None) -> DataFrame:
@@ -131,8 +143,11 @@ def windows(df: DataFrame, id_col: str, fields: list[str], template: frozenset[s
                     hit = only[at] == key if len(only) else np.zeros(len(key), bool)
                     text, place, key = text[hit], place[hit], key[hit]
                 rows = pa.array([ids[i] for i in text], pa.int64())
-                words = pa.array([texts[i][p : p + WIDTH] for i, p in zip(text, place)], pa.list_(pa.string()))
-                yield pa.record_batch([rows, pa.array([field] * len(text), pa.string()), pa.array(place, pa.int64()), pa.array(key.view(np.int64)), words], names=["row_id", "field", "pos", "key", "words"])
+                words = [texts[i][p : p + WIDTH] for i, p in zip(text, place)]
+                yield pa.record_batch(
+                    [rows, pa.array([field] * len(text), pa.string()), pa.array(place, pa.int64()), pa.array(key.view(np.int64)), pa.array(recurrence(words), pa.int64()), pa.array(words, pa.list_(pa.string()))],
+                    names=["row_id", "field", "pos", "key", "slots", "words"],
+                )
 
     return df.select(F.col(id_col).cast("long").alias("row_id"), *(F.col(c).alias(f"t{i}") for i, c in enumerate(fields))).mapInArrow(run, WINDOWS)
 
@@ -153,52 +168,56 @@ def template_words(items: DataFrame, id_col: str, fields: list[str]) -> frozense
 
     found = items.select(F.col(id_col).cast("long").alias("i"), *fields).mapInArrow(run, "i long, w string").distinct().groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     least = max(TEMPLATE_ITEMS, TEMPLATE_SHARE * n)
-    return frozenset(r.w for r in found.filter(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(MAX_TEMPLATE).collect())
-
-
-def _consistent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whether the slots of each pair of windows map one to one."""
-    for b in batches:
-        out = []
-        for a, c in zip(b.column("words").to_pylist(), b.column("item_words").to_pylist()):
-            there: dict[str, str] = {}
-            back: dict[str, str] = {}
-            out.append(all(there.setdefault(x, y) == y and back.setdefault(y, x) == x for x, y in zip(a, c)))
-        yield pa.record_batch([*(b.column(x) for x in ("corpus", "row_id", "pos", "item_id", "exact")), pa.array(out, pa.bool_())], names=["corpus", "row_id", "pos", "item_id", "exact", "consistent"])
+    return frozenset(r.w for r in found.filter(F.col("n") >= least).collect())
 
 
-def matches(spark: SparkSession, corpora: list[tuple[str, DataFrame, str, str]], items: DataFrame, item_id: str, item_fields: list[str]) -> DataFrame:
-    """Joined windows: (corpus, row_id, pos, item_id, exact, consistent).
+def matches(spark: SparkSession, corpora: list[tuple[str, DataFrame, str, str]], items: DataFrame, item_id: str, item_fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(windows of the corpora whose key is one of the test set's: corpus, row_id, pos, key, slots, words) and (those of
+    the test set: item_id, key, slots, words; each once).
 
     corpora: (name, table, id column, text column). An item whose field is null or shorter than a window can't be
     found by that field. Repeated rows and windows repeat. The test set may be of any size; only its size decides
     whether its keys are sent to the tasks.
     """
     template = template_words(items, item_id, item_fields)
-    test = materialize(windows(items, item_id, item_fields, template, None).select(F.col("row_id").alias("item_id"), "key", F.col("words").alias("item_words")).distinct(), "p3")
+    test = materialize(windows(items, item_id, item_fields, template, None).select(F.col("row_id").alias("item_id"), "key", "slots", "words").distinct(), "p3")
     keys = test.select("key").distinct()
-    n = keys.count()
-    only = np.sort(np.array([r.key for r in keys.collect()], np.int64).view(np.uint64)) if n <= MAX_KEYS else None
-    parts = [windows(df, i, [t], template, only).select(F.lit(name).alias("corpus"), "row_id", "pos", "key", "words") for name, df, i, t in corpora]
+    only = np.sort(keys.toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)) if keys.limit(MAX_KEYS + 1).count() <= MAX_KEYS else None
+    parts = [windows(df, i, [t], template, only).select(F.lit(name).alias("corpus"), "row_id", "pos", "key", "slots", "words") for name, df, i, t in corpora]
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    pairs = found.join(test, "key").select("corpus", "row_id", "pos", "item_id", "words", "item_words", (F.col("words") == F.col("item_words")).alias("exact"))
-    return pairs.mapInArrow(_consistent, "corpus string, row_id long, pos long, item_id long, exact boolean, consistent boolean")
+    return found, test
 
 
-def exact_leaks(found: DataFrame) -> DataFrame:
-    """(corpus, row_id, item_id) of records that share a window's very words with an item."""
-    return found.filter("exact").select("corpus", "row_id", "item_id").distinct()
+def _hashed(w: DataFrame) -> DataFrame:
+    return w.withColumn("h", F.xxhash64("words"))
+
+
+def exact_leaks(found: DataFrame, test: DataFrame) -> DataFrame:
+    """(corpus, row_id, item_id) of records that share a window's very words with an item.
+
+    Equal words have equal templates and slots, so the join takes the words into its key: nothing else comes out of it.
+    Windows that a record has more than once, or many items share, meet once.
+    """
+    mine = _hashed(found).select("corpus", "row_id", "key", "h", "words")
+    hits = mine.join(_hashed(test).select("key", "h", F.col("words").alias("item_words"), "item_id"), ["key", "h"]).filter(F.col("words") == F.col("item_words"))
+    return hits.select("corpus", "row_id", "item_id").distinct()
 
 
-def template_leaks(found: DataFrame) -> DataFrame:
+def template_leaks(found: DataFrame, test: DataFrame) -> DataFrame:
     """Leaks of either kind: (corpus, row_id, item_id, exact, n_windows, n_items).
 
     A window counts for every item whose slots it fits, as those of one template can't be told apart. exact: some window
-    has the very words of the item; n_items is the largest number of items that one of the windows fits.
+    has the very words of the item; n_items is the largest number of items that one of the windows fits. Windows of one
+    record and template are counted before they meet the items, which are classes of (key, slots).
     """
-    at = ["corpus", "row_id", "pos"]
-    w = found.filter("consistent").groupBy(*at, "item_id").agg(F.bool_or("exact").alias("exact"))
-    w = w.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*at)))
-    return w.groupBy("corpus", "row_id", "item_id").agg(F.bool_or("exact").alias("exact"), F.count(F.lit(1)).alias("n_windows"), F.max("n").alias("n_items"))
+    fits = test.select("key", "slots", "item_id").distinct()
+    classes = materialize(fits.groupBy("key", "slots").agg(F.count(F.lit(1)).alias("n_items")), "p3c")
+    mine = materialize(found.join(classes, ["key", "slots"]), "p3w")
+    counted = mine.groupBy("corpus", "row_id", "key", "slots").agg(F.countDistinct("pos").alias("n_windows"), F.max("n_items").alias("n_items"))
+    none = F.lit(0).cast("long")
+    all_ = counted.join(fits, ["key", "slots"]).select("corpus", "row_id", "item_id", F.lit(False).alias("exact"), "n_windows", "n_items")
+    exact = exact_leaks(mine, test).select("corpus", "row_id", "item_id", F.lit(True).alias("exact"), none.alias("n_windows"), none.alias("n_items"))
+    both = all_.unionByName(exact).groupBy("corpus", "row_id", "item_id")
+    return both.agg(F.bool_or("exact").alias("exact"), F.sum("n_windows").alias("n_windows"), F.max("n_items").alias("n_items"))

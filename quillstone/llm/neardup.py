@@ -8,8 +8,11 @@ index holds every segment that is not empty and, in every DELETE-th segment, its
 the H + c cheapest units, where the cost of a unit is the estimated number of records it meets. Pairs that gather c are
 verified on their whole sets.
 
-c is 1 and more where a probe has more cheap units. Units dearer than a limit are neither indexed nor probed, so that
-no key is hot. Records that can't reach H + 1 without them (few; all their runs are frequent) go an exact way of their own: some run among their rarest must be shared.
+c is 1 and more where a probe has more cheap units. Units dearer than a limit are neither indexed nor probed. The sketch
+that tells costs grows with the data up to MOST_CELLS; where even that leaves its noise above the limit, the limit grows
+and keys may be hot: those that a bounded sample of records shows to be so are split, their index rows by a salt and
+their probe rows copied to every part. Records that can't reach H + 1 without dear units (few; all their runs are
+frequent) go an exact way of their own: by prefixes of their rarest runs and bands of sizes, hot keys split likewise.
 """
 
 from __future__ import annotations
@@ -29,19 +32,18 @@ NUM, DEN, RUN, DELETE = 7, 10, 3, 8
 #: For every so many runs of H a probe may take one more unit, if it is cheap, for which a pair must gather one more.
 #: Cheap is up to CHEAP and twice the noise of the sketch.
 SPARE, CHEAP = 6, 1_000
-#: Buckets of the frequency sketch (bounded whatever the data), and the dearest unit, at least.
-BUCKETS, DEAREST = 1 << 18, 20_000
+#: Cells of the frequency sketch: one for FILL runs, a power of two between these; and the dearest unit, at least.
+LEAST_CELLS, MOST_CELLS, FILL, DEAREST = 1 << 18, 1 << 26, 32, 20_000
+#: Records whose keys are counted to find hot ones, in how many of them a key must be to be hot, and rows of a part of it.
+SAMPLE, SEEN, SPLIT = 5_000, 50, 20_000
 #: Bound on ids or runs that are sent to every task.
 MAX_IDS = 500_000
-#: Classes of equal sets larger than this are linked to their first record instead of pair by pair; None: none is, all
-#: pairs are returned.
-EXPAND: int | None = None
 #: Records of a class that meet those of another (or of the same) in one key of the join; larger classes are cut by hash.
 PART = 1_000
 #: Records whose segments are worked out at a time, which bounds a worker's memory.
 BLOCK = 2_000
-#: Bits of a key; equal keys of different segments only add candidates.
-KEY_BITS = 40
+#: Bits of a key, at least, and bits beyond those of the number of runs; equal keys of different segments only add candidates.
+KEY_BITS, KEY_ROOM = 40, 12
 KEEP = 300_000
 
 _WORD = re.compile(r"\w+")
@@ -139,7 +141,7 @@ def run_sets(df: DataFrame, tbl: str, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(run, SETS)
 
 
-def units(rec: np.ndarray, size: np.ndarray, run: np.ndarray, freq: np.ndarray, salt: np.ndarray, dearest: int, spare: float) -> tuple[dict, dict, np.ndarray]:
+def units(rec: np.ndarray, size: np.ndarray, run: np.ndarray, freq: np.ndarray, salt: np.ndarray, dearest: int, spare: float, bits: int = KEY_BITS) -> tuple[dict, dict, np.ndarray]:
     """Index rows, probe rows (key, record; weight, need) and the records that can't be probed, of records given as flat runs.
 
     rec: record number of each run (sorted); size: sizes by record; salt: 64 bits by record that keep tables apart.
@@ -156,7 +158,7 @@ def units(rec: np.ndarray, size: np.ndarray, run: np.ndarray, freq: np.ndarray,
     inst = np.repeat(np.arange(len(inst_rec)), n)
     place = np.arange(len(inst)) - np.repeat(np.cumsum(n) - n, n) + starts[inst_rec][inst]
     h = run[place]
-    cost = freq[(h & _U(BUCKETS - 1)).astype(np.int64)]
+    cost = estimate(freq, h)
     segments = hi // 2 + 4
     b = inst_band[inst]
     seg = (mix(h + b.astype(_U) * _P2 + _P3) % segments[b].astype(_U)).astype(np.int64)
@@ -176,7 +178,7 @@ def units(rec: np.ndarray, size: np.ndarray, run: np.ndarray, freq: np.ndarray,
     deletes = (g_seg % DELETE == 0) & (count > 1)
 
     def key(content: np.ndarray, where: np.ndarray, neighbour: bool) -> np.ndarray:
-        return (mix(content ^ place_salt[where] ^ _U(neighbour)) >> _U(64 - KEY_BITS)).view(np.int64)
+        return (mix(content ^ place_salt[where] ^ _U(neighbour)) >> _U(64 - bits)).view(np.int64)
 
     # deletion neighbours: content without one run; its estimate is that of the cheapest run left
     d_run = np.nonzero(deletes[group])[0]
@@ -231,17 +233,26 @@ def _salts(tables: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(t) for t in tables], _U)
 
 
+def estimate(freq: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """Upper estimates of in how many sets each run occurs, from the sketch."""
+    return _SCALE[freq[(runs & _U(len(freq) - 1)).astype(np.int64)]]
+
+
+#: Counts of the sketch by their codes of one byte: exact up to 32, then in steps of about 10 %, always rounded up.
+_SCALE = np.unique(np.concatenate([np.arange(33), np.ceil(32 * 1.1025 ** np.arange(1, 400))]))[:256].astype(np.int64)
 SIGNATURES = "key long, cls long, meta long"
 INDEX, PROBE, HARD = 0, 1, 2
 
 
-def signatures(classes: DataFrame, freq: np.ndarray, dearest: int, spare: float) -> DataFrame:
+def signatures(classes: DataFrame, freq: np.ndarray, dearest: int, spare: float, bits: int = KEY_BITS) -> DataFrame:
     """SIGNATURES: meta packs size, need (7 bits), weight (2 bits) and kind (2 bits).
 
     The kind is INDEX, PROBE or HARD (a record to go the exact way).
     """
+    sent = classes.sparkSession.sparkContext.broadcast(freq)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        freq = sent.value
         for b in batches:
             for at in range(0, b.num_rows, BLOCK):
                 part = b.slice(at, BLOCK)
@@ -253,8 +264,8 @@ def signatures(classes: DataFrame, freq: np.ndarray, dearest: int, spare: float)
                 size = np.array(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)
                 if not len(ids):
                     continue
-                index, probe, hard = units(np.repeat(np.arange(len(ids)), size), size, flat, freq, _salts(part.column("tbl").to_pylist()), dearest, spare)
-                own = -1 - (mix(ids[hard].view(_U)) >> _U(64 - KEY_BITS)).view(np.int64)  # a key of its own keeps hard records spread
+                index, probe, hard = units(np.repeat(np.arange(len(ids)), size), size, flat, freq, _salts(part.column("tbl").to_pylist()), dearest, spare, bits)
+                own = -1 - (mix(ids[hard].view(_U)) >> _U(64 - bits)).view(np.int64)  # a key of its own keeps hard records spread
                 for key, rec, low in ((index["key"], index["rec"], np.full(len(index["rec"]), INDEX)), (probe["key"], probe["rec"], probe["need"] << 4 | probe["weight"] << 2 | PROBE), (own, hard, np.full(len(hard), HARD))):
                     meta = size[rec] << 11 | low
                     for i in range(0, len(rec), 200_000):
@@ -307,40 +318,84 @@ def _meet(key: np.ndarray, cls: np.ndarray, meta: np.ndarray) -> list[np.ndarray
 def meetings(sig: DataFrame) -> DataFrame:
     """(a, b, weight, need): what meets in some key, summed per batch; (a, a) for a hard record.
 
-    One shuffle by key: every key lies in one task and has no more index rows than the limit of cost allows.
+    One shuffle by key: what shares one lies in one task, in rows that the limit of cost or the split of hot keys bounds.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64)] * 3
+        rest: list[list[np.ndarray]] = []  # pieces that end in one key
 
-        def out(cols):
+        def out(pieces):
+            cols = [np.concatenate(x) for x in zip(*pieces)]
             return pa.record_batch([pa.array(x) for x in _meet(*cols)], names=["a", "b", "weight", "need"])
 
         for b in batches:
-            cols = [np.concatenate([x, b.column(k).to_numpy(zero_copy_only=False)]) for k, x in enumerate(rest)]
+            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
             if not len(cols[0]):
                 continue
             cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))  # the last key may go on
-            if cut:
-                yield out([x[:cut] for x in cols])
-            rest = [x[cut:] for x in cols]
-        if len(rest[0]):
+            if cut or rest and rest[-1][0][-1] != cols[0][0]:
+                yield out([*rest, [x[:cut] for x in cols]])
+                rest = []
+            rest.append([x[cut:] for x in cols])
+        if rest:
             yield out(rest)
 
     return sig.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, weight long, need long")
 
 
+def hot_keys(classes: DataFrame, n: int, sign) -> DataFrame | None:
+    """(key, parts) of the keys that too many records share, by a sample of the `n` records; none if null.
+
+    Which keys are found decides how the work is cut, not what meets. At most SAMPLE * (rows a record) / SEEN keys.
+    """
+    if n * SEEN <= SAMPLE * SPLIT:
+        return None  # a key in a SEEN-th of so few records holds no more than a part may
+    share = min(1.0, SAMPLE / n)
+    some = classes.filter(F.pmod(F.xxhash64("cls"), F.lit(1_000_000)) < F.lit(max(1, round(1_000_000 * share))))
+    seen = sign(some).filter("key >= 0").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SEEN)
+    parts = F.ceil(F.col("n") / F.lit(share * SPLIT)).cast("int")
+    return materialize(seen.select("key", parts.alias("parts")).filter("parts > 1"), "p6k")
+
+
+def split_keys(sig: DataFrame, hot: DataFrame | None, bits: int = KEY_BITS) -> DataFrame:
+    """`sig` with hot keys split into keys of their parts: index rows go to one part by hash, probe rows to every part."""
+    if hot is None:
+        return sig
+    kind = F.col("meta").bitwiseAND(F.lit(3))
+    x = sig.join(_small(hot, MAX_IDS), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    mine = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
+    where = F.when(kind == PROBE, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(mine))
+    x = x.select("key", "cls", "meta", F.explode(where).alias("part"))
+    return x.select(F.when(F.col("part") > 0, F.shiftrightunsigned(F.xxhash64("key", "part"), 64 - bits)).otherwise(F.col("key")).alias("key"), "cls", "meta")
+
+
 def candidates(sig: DataFrame) -> DataFrame:
     """(a, b): pairs that gather what they need over all keys; (a, a) for a hard record."""
     return meetings(sig).groupBy("a", "b").agg(F.sum("weight").alias("weight"), F.max("need").alias("need")).filter("weight >= need").select("a", "b")
 
 
-def frequencies(classes: DataFrame) -> np.ndarray:
-    """A sketch of in how many sets a run occurs: counts by BUCKETS buckets of all runs of all sets."""
-    bucket = F.col("run").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
-    t = classes.select(F.explode("runs").alias("run")).groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).toArrow()
-    out = np.zeros(BUCKETS, np.int64)
-    out[t.column("b").to_numpy()] = t.column("n").to_numpy()
+def frequencies(classes: DataFrame, cells: int = LEAST_CELLS) -> np.ndarray:
+    """A sketch of in how many sets a run occurs: counts by cell of all runs of all sets, in codes of one byte (_SCALE).
+
+    The driver gets one byte a cell, in blocks of 65,536.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            blocks = []
+            for cell, n in zip(b.column(1), b.column(2)):
+                block = np.zeros(1 << 16, np.uint8)
+                block[np.asarray(cell.values)] = np.minimum(np.searchsorted(_SCALE, np.asarray(n.values)), 255)
+                blocks.append(block.tobytes())
+            yield pa.record_batch([b.column(0), pa.array(blocks, pa.binary())], names=["block", "codes"])
+
+    cell = F.col("run").bitwiseAND(F.lit(cells - 1)).cast("int")
+    counted = classes.select(F.explode("runs").alias("run")).groupBy(cell.alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    place = F.struct(F.col("c").bitwiseAND(F.lit(0xFFFF)).alias("c"), F.col("n"))
+    blocks = counted.groupBy(F.shiftright("c", 16).alias("block")).agg(F.collect_list(place).alias("x")).select("block", F.col("x.c").alias("cell"), F.col("x.n").alias("n"))
+    out = np.zeros(cells, np.uint8)
+    for r in blocks.mapInArrow(pack, "block int, codes binary").collect():
+        out[r.block << 16 : (r.block + 1) << 16] = np.frombuffer(r.codes, np.uint8)
     return out
 
 
@@ -361,9 +416,14 @@ def classes_of(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def similar_classes(classes: DataFrame, dearest: int | None = None) -> DataFrame:
     """(tbl, a, b): classes a < b with similar sets; classes: tbl, cls (unique over all tables), parity, runs."""
-    freq = frequencies(classes)
-    limit = dearest if dearest is not None else int(max(DEAREST, 8 * freq.mean()))
-    met = materialize(candidates(signatures(classes, freq, limit, CHEAP + 2 * freq.mean())), "p6")
+    n, runs = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()
+    cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (int(runs) // FILL).bit_length()))
+    freq = frequencies(classes, cells)
+    mean = runs / cells
+    limit = dearest if dearest is not None else int(max(DEAREST, 8 * mean))
+    bits = min(62, max(KEY_BITS, int(runs).bit_length() + KEY_ROOM))
+    sign = lambda c: signatures(c, freq, limit, CHEAP + 2 * mean, bits)
+    met = materialize(candidates(split_keys(sign(classes), hot_keys(classes, n, sign), bits)), "p6")
     pairs = met.filter("a < b")
     hard = met.filter("a = b").select(F.col("a").alias("cls"))
     if not hard.isEmpty():
@@ -388,27 +448,44 @@ def _small(df: DataFrame, most: int) -> DataFrame:
 
 
 
-
 def _hard_pairs(classes: DataFrame, hard: DataFrame, freq: np.ndarray) -> DataFrame:
-    """Candidates of hard records: a partner shares at least one of the rarest (1 - J) * size + 1 runs."""
+    """Candidates of hard records: partners of a size within reach whose rarest runs have one in common with theirs.
 
-    def rare(batches):
+    Runs are in one order, rare ones first; two similar sets share a run among the first |x| - 0.7 |x| + 1 of either.
+    The join is by run and band of sizes; a key with more than SPLIT rows is cut into parts, to each of which the rows of
+    the hard records are copied.
+    """
+    sent = classes.sparkSession.sparkContext.broadcast(freq)
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep, who, tbl = [], [], []
+            keep, who, tbl, sizes = [], [], [], []
             for t, c, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                x.sort(key=lambda v: (freq[v & (BUCKETS - 1)], v))
-                part = x[: len(x) - -(-NUM * len(x) // DEN) + 1]
-                keep += part
-                who += [c] * len(part)
-                tbl += [t] * len(part)
-            yield pa.record_batch([pa.array(tbl, pa.string()), pa.array(who, pa.int64()), pa.array(keep, pa.int64())], names=["tbl", "r", "run"])
-
-    runs = classes.join(hard, "cls", "left_semi").select("tbl", "cls", "runs").mapInArrow(rare, "tbl string, r long, run long")
-    runs = materialize(runs, "p6h")
-    few = runs.select("run").distinct()
-    all_runs = classes.select("tbl", F.col("cls").alias("s"), F.explode("runs").alias("run"))
-    all_runs = all_runs.join(_small(few, MAX_IDS), "run", "left_semi")
-    return runs.join(all_runs, ["tbl", "run"]).filter(F.col("r") != F.col("s")).select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")).distinct()
+                h = np.array(x, np.int64)
+                first = h[np.lexsort((h, estimate(sent.value, h.view(_U))))][: len(h) - -(-NUM * len(h) // DEN) + 1]
+                keep.append(first)
+                who += [c] * len(first)
+                tbl += [t] * len(first)
+                sizes += [len(h)] * len(first)
+            runs = np.concatenate(keep) if keep else np.zeros(0, np.int64)
+            yield pa.record_batch([pa.array(tbl, pa.string()), pa.array(who, pa.int64()), pa.array(sizes, pa.int64()), pa.array(runs)], names=["tbl", "c", "size", "run"])
+
+    def prefixes(df: DataFrame) -> DataFrame:
+        return df.select("tbl", "cls", "runs").mapInArrow(rare, "tbl string, c long, size long, run long")
+
+    band = F.floor(F.log("size") / F.lit(np.log(DEN / NUM)))  # sizes within reach lie in the same band or the next
+    mine = prefixes(classes.join(hard, "cls", "left_semi")).withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
+    mine = materialize(mine, "p6h")
+    few = mine.select("tbl", "run", "band").distinct()
+    theirs = materialize(prefixes(classes).withColumn("band", band).join(_small(few, MAX_IDS), ["tbl", "run", "band"], "left_semi"), "p6i")
+    parts = theirs.groupBy("tbl", "run", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(SPLIT)).cast("int").alias("parts")).filter("parts > 1")
+    parts = _small(materialize(parts, "p6j"), MAX_IDS)
+    n = F.coalesce("parts", F.lit(1))
+    key = ["tbl", "run", "band"]
+    left = mine.join(parts, key, "left").select(*key, F.col("c").alias("r"), F.col("size").alias("m"), F.explode(F.sequence(F.lit(0), n - 1)).alias("part"))
+    right = theirs.join(parts, key, "left").select(*key, F.col("c").alias("s"), "size", F.pmod(F.xxhash64("c"), n).cast("int").alias("part"))
+    reach = (F.least("m", "size") * DEN >= F.greatest("m", "size") * NUM) & (F.col("r") != F.col("s"))
+    return left.join(right, [*key, "part"]).filter(reach).select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")).distinct()
 
 
 def near_duplicates(parts: list[DataFrame], dearest: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -422,39 +499,28 @@ def near_duplicates(parts: list[DataFrame], dearest: int | None = None) -> tuple
         sets = sets.unionByName(p)
     firsts, members = classes_of(sets)
     firsts = materialize(firsts, "p6")
-    # one id over all tables: small numbers where they fit, as these move in less space, else a hash
+    # one id over all tables: small numbers where they fit, else numbers given in order of (tbl, cls)
     tables = [r.tbl for r in firsts.select("tbl").distinct().orderBy("tbl").collect()]  # as many as there are parts
-    span = firsts.agg(F.max(F.abs("cls"))).first()[0] or 0
-    small = span < (1 << 62) // max(1, len(tables))
-    if small:
+    least, most = firsts.agg(F.min("cls"), F.max("cls")).first()
+    if -(1 << 62) // max(1, len(tables)) < (least or 0) and (most or 0) < (1 << 62) // max(1, len(tables)):
         number = F.coalesce(*[F.when(F.col("tbl") == t, F.lit(k)) for k, t in enumerate(tables)], F.lit(0))
-        one = F.col("cls") * len(tables) + number
-    else:
-        one = F.xxhash64("tbl", "h1", "h2")
-    links = similar_classes(firsts.select("tbl", one.cast("long").alias("cls"), "parity", "runs"), dearest)
-    if small:
+        links = similar_classes(firsts.select("tbl", (F.col("cls") * len(tables) + number).cast("long").alias("cls"), "parity", "runs"), dearest)
         back = lambda c: F.expr(f"({c} - pmod({c}, {len(tables)})) div {len(tables)}")
         links = links.select("tbl", back("a").alias("ca"), back("b").alias("cb"))
     else:
-        names = firsts.select("tbl", one.alias("x"), "cls").distinct()
-        links = links.join(names.select("tbl", F.col("x").alias("a"), F.col("cls").alias("ca")), ["tbl", "a"]).join(names.select("tbl", F.col("x").alias("b"), F.col("cls").alias("cb")), ["tbl", "b"])
+        names = materialize(firsts.select("tbl", "cls").distinct().withColumn("x", F.monotonically_increasing_id()), "p6x")
+        links = similar_classes(firsts.join(names, ["tbl", "cls"]).select("tbl", F.col("x").alias("cls"), "parity", "runs"), dearest)
+        side = lambda c, to: names.select("tbl", F.col("x").alias(c), F.col("cls").alias(to))
+        links = links.join(side("a", "ca"), ["tbl", "a"]).join(side("b", "cb"), ["tbl", "b"])
     return links.select("tbl", F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")), members
 
 
-def pairs_of(links: DataFrame, members: DataFrame, expand: int | None = EXPAND) -> DataFrame:
+def pairs_of(links: DataFrame, members: DataFrame) -> DataFrame:
     """(tbl, row_a, row_b), row_a < row_b: links between records, all of them.
 
     A class is linked to itself. Classes of more than PART records are cut into parts by hash, so that no key of the
     join holds more than about PART of them; each pair of parts is a key. The result grows with the pairs that there are.
-    With `expand`, for those who want less: classes of more records are not expanded, but linked to their first, which
-    alone is linked to other classes.
     """
-    star = None
-    if expand is not None:
-        w = Window.partitionBy("tbl", "cls")
-        sized = members.withColumn("n", F.count(F.lit(1)).over(w))
-        star = sized.filter((F.col("n") > expand) & (F.col("row_id") != F.col("cls"))).select("tbl", F.col("cls").alias("row_a"), F.col("row_id").alias("row_b"))
-        members = sized.filter((F.col("n") <= expand) | (F.col("row_id") == F.col("cls"))).select("tbl", "cls", "row_id")
     sizes = members.groupBy("tbl", "cls").agg(F.count(F.lit(1)).alias("n"))
     big = _small(materialize(sizes.filter(F.col("n") > PART).select("tbl", "cls", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "p6n"), MAX_IDS)
     cut = members.join(big, ["tbl", "cls"], "left").select("tbl", "cls", "row_id", F.coalesce(F.pmod(F.xxhash64("row_id"), "parts"), F.lit(0)).cast("int").alias("part"))
@@ -464,8 +530,7 @@ def pairs_of(links: DataFrame, members: DataFrame, expand: int | None = EXPAND)
     keys = all_.join(side("a"), ["tbl", "a"], "left").join(side("b"), ["tbl", "b"], "left").select("tbl", "a", "b", "parts_b", parts_of("a")).select("tbl", "a", "b", "part_a", parts_of("b"))
     x = lambda c: cut.select("tbl", F.col("cls").alias(c), F.col("part").alias(f"part_{c}"), F.col("row_id").alias(f"r{c}"))
     met = keys.join(x("a"), ["tbl", "a", "part_a"]).join(x("b"), ["tbl", "b", "part_b"]).filter((F.col("a") != F.col("b")) | (F.col("ra") < F.col("rb")))
-    pairs = met.select("tbl", F.least("ra", "rb").alias("row_a"), F.greatest("ra", "rb").alias("row_b"))
-    return pairs if star is None else pairs.unionByName(star)
+    return met.select("tbl", F.least("ra", "rb").alias("row_a"), F.greatest("ra", "rb").alias("row_b"))
 
 
 def groups_of(links: DataFrame, members: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def p4_rates(spark: SparkSession, d: str) -> DataFrame:
     return answers.cut_rates(answers.judged(table(spark, d, "autodoc_results"), answers.LISTS))
 
 
-def _leaks(spark: SparkSession, d: str) -> DataFrame:
+def _leaks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     corpora = [
         ("documents", table(spark, d, "documents", "doc_id", "text"), "doc_id", "text"),
         ("autodoc_results", table(spark, d, "autodoc_results", "rec_id", "code"), "rec_id", "code"),
@@ -56,12 +56,12 @@ def _leaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.exact_leaks(_leaks(spark, d))
+    return leaks.exact_leaks(*_leaks(spark, d))
 
 
 def p3_templates(spark: SparkSession, d: str) -> DataFrame:
     """Leaks word by word and re-parameterised ones, with the number of windows."""
-    return leaks.template_leaks(_leaks(spark, d))
+    return leaks.template_leaks(*_leaks(spark, d))
 
 
 def _checked(spark: SparkSession, d: str, all_rows: bool) -> DataFrame:

@@ -64,6 +64,17 @@ def test_wording_of_its_own_is_caught_with_another_number(spark, tmp_path):
     assert [tuple(r) for r in QUERIES["p3_found"](spark, str(tmp_path)).collect()] == [("documents", 4, 1)]
 
 
+def test_windows_with_inconsistent_slots_never_meet(spark, tmp_path):
+    """One template key, but names that recur at other places: no row of the join, whatever the words."""
+    items = [(i, TEXT.replace("polar jetty", x), None, None) for i, x in ((1, "polar jetty"), (2, "amber amber"), (3, "icy barge"))]
+    docs = [(1, TEXT.replace("polar jetty", "red red")), (2, TEXT.replace("polar jetty", "red door"))]
+    _leak_tables(spark, tmp_path, docs, [], items)
+    n = {(r.row_id, r.item_id): r.n_windows for r in QUERIES["p3_templates"](spark, str(tmp_path)).collect()}
+    assert n[1, 2] - n[1, 1] == n[2, 1] - n[2, 2] == 3 and n[1, 1] == n[1, 3] and n[2, 1] == n[2, 3]  # three windows hold the names
+    a, b, c, d = leaks.recurrence([["a", "b", "a"], ["x", "y", "x"], ["x", "y", "y"], ["a", "b", "c"]])
+    assert a == b != c and d == 0
+
+
 def test_leaks_without_key_filter(spark, tmp_path, monkeypatch):
     _leak_tables(spark, tmp_path, [(1, TEXT)], [], [(1, TEXT, TEXT, None)])
     monkeypatch.setattr(leaks, "MAX_KEYS", 0)
@@ -130,3 +141,14 @@ def test_held_out_accuracy(spark):
     p = languages.Profiles(languages.fit(train))
     held = made[1::2]
     assert sum(languages.analyse(s, p)[0][0] == k for k, s in held) >= 0.97 * len(held)
+
+
+def test_long_words_count_whole():
+    import numpy as np
+
+    head = "x" * 70
+    a, n = languages.word_vector(head + "sortiert")
+    b, m = languages.word_vector(head)
+    assert n > m and not np.array_equal(a, b)
+    v, n = languages.word_vector("qwertz" * 20_000)
+    assert n == 240_000 and v.shape == (languages.DIM,)

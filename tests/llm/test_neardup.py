@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillstone.llm import neardup
 
@@ -45,10 +46,10 @@ def _corpus(seed, n=140):
     return rows
 
 
-def _found(spark, rows, dearest=None, expand=neardup.EXPAND):
+def _found(spark, rows, dearest=None):
     df = spark.createDataFrame([(a, b, "k", 1) for a, b in rows], "rec_id long, code string, tbl string, key int").repartition(3)
     links, members = neardup.near_duplicates([neardup.run_sets(df, "t", "rec_id", "code")], dearest)
-    return neardup.pairs_of(links, members, expand), links, members
+    return neardup.pairs_of(links, members), links, members
 
 
 @pytest.mark.parametrize("seed,dearest", [(1, None), (2, None), (3, 12), (4, 3), (5, 0)])
@@ -68,13 +69,45 @@ def test_edges(spark):
     assert _found(spark, empty)[0].collect() == []
 
 
-def test_large_class_is_linked_to_its_first(spark):
-    rows = [(i, "same words in every row here and there") for i in range(1, 9)] + [(20, "same words in every row here and there more")]
-    pairs, links, members = _found(spark, rows, expand=5)
-    got = {(r.row_a, r.row_b) for r in pairs.collect()}
-    assert got == {(1, i) for i in range(2, 9)} | {(1, 20)}
-    groups = neardup.groups_of(links, members).collect()
-    assert {r.row_id for r in groups} == {*range(1, 9), 20} and {r.group_id for r in groups} == {1} and all(r.n_links == 1 for r in groups)
+@pytest.mark.parametrize("dearest", [None, 0])
+def test_hot_keys_are_split(spark, monkeypatch, dearest):
+    """One run of words in nine tenths of the records: its keys are cut into parts, and no pair is lost or doubled."""
+    r = random.Random(11)
+    rows = [(i, ("one common start " if i % 10 else "") + " ".join(f"w{r.randrange(60)}" for _ in range(r.choice([2, 3, 4])))) for i in range(1, 400)]
+    for name, v in (("SAMPLE", 150), ("SEEN", 5), ("SPLIT", 10)):
+        monkeypatch.setattr(neardup, name, v)
+    seen = []
+    real = neardup.split_keys
+
+    def watch(sig, hot, bits):
+        out = real(sig, hot, bits)
+        index = F.col("meta").bitwiseAND(F.lit(3)) == neardup.INDEX
+        seen.append((sig.filter(index).groupBy("key").count().agg(F.max("count")).first()[0], out.filter(index).groupBy("key").count().agg(F.max("count")).first()[0]))
+        return out
+
+    monkeypatch.setattr(neardup, "split_keys", watch)
+    got = [(x.row_a, x.row_b) for x in _found(spark, rows, dearest)[0].collect()]
+    assert len(got) == len(set(got)) and set(got) == _brute(rows)
+    if dearest is None:
+        assert seen[0][0] > 100 and seen[0][1] <= 30
+
+
+def test_large_ids(spark):
+    """Ids beyond what can be numbered in place: classes keep apart, links come back under the ids given."""
+    rows = [((1 << 62) + i if i % 2 else -(1 << 62) - i, t) for i, t in _corpus(6, 60)]
+    got = [(x.row_a, x.row_b) for x in _found(spark, rows)[0].collect()]
+    assert len(got) == len(set(got)) and set(got) == _brute(rows)
+
+
+def test_sketch_is_an_upper_estimate(spark):
+    import numpy as np
+
+    r = random.Random(2)
+    sets = [sorted({r.randrange(500) * 7919 for _ in range(40)}) for _ in range(300)]
+    freq = neardup.frequencies(spark.createDataFrame([(s,) for s in sets], "runs array<long>"), 1 << 17)
+    runs = np.array(sorted({x for s in sets for x in s}), np.int64)
+    true = np.array([sum(x in s for s in map(set, sets)) for x in runs.tolist()])
+    assert len(freq) == 1 << 17 and (neardup.estimate(freq, runs.view(np.uint64)) >= true).all() and (neardup.estimate(freq, runs.view(np.uint64)) <= np.maximum(32, true * 1.2 + 10)).all()
 
 
 def test_large_classes_are_expanded(spark, monkeypatch):
