@@ -185,8 +185,15 @@ def uses_none(have: Column, barred: list[str]) -> Column:
 def sliding_sum(df: DataFrame, at: str, value: str, seconds: int, by: list[str] | None = None) -> DataFrame:
     """Rows with `in_window`: the sum of `value` over the last `seconds` seconds up to the row, its own included."""
     t = F.unix_micros(F.col(at).cast("timestamp"))
-    w = Window.partitionBy(*(by or [])).orderBy("__t").rangeBetween(-seconds * 1_000_000 + 1, 0)
-    return df.withColumn("__t", t).withColumn("in_window", F.sum(value).over(w)).drop("__t")
+    us = seconds * 1_000_000
+    if by:
+        w = Window.partitionBy(*by).orderBy("__t").rangeBetween(1 - us, 0)
+        return df.withColumn("__t", t).withColumn("in_window", F.sum(value).over(w)).drop("__t")
+    # over the whole frame: spans of the window's own length, each with a copy of the rows of the span before
+    x = df.withColumn("__t", t).withColumn("__s", F.floor(F.col("__t") / us))
+    x = x.withColumn("__c", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("__s", F.col("__s") + F.col("__c"))
+    w = Window.partitionBy("__s").orderBy("__t").rangeBetween(1 - us, 0)
+    return x.withColumn("in_window", F.sum(value).over(w)).filter("__c = 0").drop("__t", "__s", "__c")
 
 
 def zip_results(tasks: DataFrame, results: DataFrame, task_id: str) -> DataFrame:

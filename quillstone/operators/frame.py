@@ -7,9 +7,12 @@ are 0; comparisons with a missing value are false (unequal: true).
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quillstone.session import materialize
 
@@ -156,8 +159,12 @@ def interpolate(df: DataFrame, column: str, at: str, by: list[str]) -> DataFrame
 
 
 def rank(df: DataFrame, column: str, method: str, by: list[str] | None = None, tie: list[str] | None = None, pct: bool = False, ascending: bool = True, name: str = "rank") -> DataFrame:
-    """Rank by method average, min, max, first or dense; missing values have no rank. pct divides by the number ranked."""
-    by = by or []
+    """Rank by method average, min, max, first or dense; missing values have no rank. pct divides by the number ranked.
+
+    Without `by` the rank is over the whole frame: values are counted first and their counts summed in ranges.
+    """
+    if not by:
+        return _global_rank(df, column, method, tie, pct, ascending, name)
     o = F.col(column).asc() if ascending else F.col(column).desc()
     w, same = Window.partitionBy(F.col(column).isNull(), *by).orderBy(o), Window.partitionBy(*by, column)
     ties = F.count(F.lit(1)).over(same)
@@ -169,6 +176,31 @@ def rank(df: DataFrame, column: str, method: str, by: list[str] | None = None, t
     return df.withColumn(name, F.when(F.col(column).isNotNull(), r))
 
 
+def _global_rank(df: DataFrame, column: str, method: str, tie: list[str] | None, pct: bool, ascending: bool, name: str) -> DataFrame:
+    order = [F.col("__v").asc() if ascending else F.col("__v").desc()]
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    r = materialize(counts.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "rank")
+    sums = r.groupBy("__part").agg(F.sum("__n").alias("s"), F.count(F.lit(1)).alias("d"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    zero = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    sums = sums.select("__part", zero("s").alias("__s"), zero("d").alias("__d"))
+    w = Window.partitionBy("__part").orderBy(*order)
+    here = r.join(F.broadcast(sums), "__part")
+    low = F.col("__s") + F.sum("__n").over(w) - F.col("__n") + 1
+    ranks = here.select("__v", "__n", low.alias("__low"), (F.col("__d") + F.row_number().over(w)).alias("__dense"))
+    x = df.join(ranks, df[column] == ranks["__v"], "left")
+    if method == "first":
+        x = x.withColumn("__first", F.row_number().over(Window.partitionBy("__v").orderBy(*(tie or [column]))))
+        value = F.col("__low") + F.col("__first") - 1
+    else:
+        value = {"min": F.col("__low"), "max": F.col("__low") + F.col("__n") - 1, "average": F.col("__low") + (F.col("__n") - 1) / 2, "dense": F.col("__dense")}[method]
+    value = value.cast("double")
+    if pct:
+        n, d = counts.agg(F.sum("__n"), F.count(F.lit(1))).first()
+        value = value / F.lit(float((d if method == "dense" else n) or 1))
+    return x.select(*[df[c] for c in df.columns], F.when(F.col("__v").isNotNull(), value).alias(name))
+
+
 def rolling(df: DataFrame, column: str, order: list[str], by: list[str], rows: int | None, stats: list[str], min_periods: int | None = None) -> DataFrame:
     """Moving statistics over the last `rows` rows (all before, if null): roll_<stat>.
 
@@ -184,23 +216,133 @@ def rolling(df: DataFrame, column: str, order: list[str], by: list[str], rows: i
     return df.select("*", *[F.when(n >= need, made[s]).alias(f"roll_{s}") for s in stats])
 
 
-def ewm_mean(df: DataFrame, column: str, order: list[str], by: list[str], alpha: float) -> DataFrame:
-    """Exponentially weighted mean with adjusted weights, as `ewm_mean`; one ordered fold per group.
+def rolling_time(df: DataFrame, column: str, at: str, by: list[str], seconds: float, stats: list[str], closed: str = "right", min_periods: int = 1) -> DataFrame:
+    """Moving statistics over the last `seconds` seconds up to each row, as roll_<stat>; closed as for intervals.
+
+    Rows of one time see each other. Statistics: count, sum, mean, min, max, std, var, median.
+    """
+    us = int(round(seconds * 1_000_000))
+    w = Window.partitionBy(*by).orderBy("__us").rangeBetween(-us if closed in ("left", "both") else 1 - us, 0 if closed in ("right", "both") else -1)
+    c, n = F.col(column), F.count(column).over(w)
+    made = {
+        "count": n, "sum": F.sum(c).over(w), "mean": F.avg(c).over(w), "min": F.min(c).over(w), "max": F.max(c).over(w), "std": F.stddev_samp(c).over(w), "var": F.var_samp(c).over(w),
+        "median": F.percentile(c, F.lit(0.5)).over(w),
+    }
+    x = df.withColumn("__us", F.unix_micros(F.col(at).cast("timestamp")))
+    return x.select("*", *[F.when(n >= min_periods, made[s]).alias(f"roll_{s}") for s in stats]).drop("__us")
+
+
+def rolling_pair(df: DataFrame, a: str, b: str, order: list[str], by: list[str], rows: int | None, min_periods: int | None = None) -> DataFrame:
+    """Moving covariance and correlation of two columns over the last `rows` rows: roll_cov, roll_corr."""
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding if rows is None else 1 - rows, 0)
+    n = F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).over(w)
+    ok = (n >= F.lit(min_periods if min_periods is not None else (rows or 1))) & (n > 1)
+    return df.select("*", F.when(ok, F.covar_samp(a, b).over(w)).alias("roll_cov"), F.when(ok, F.corr(a, b).over(w)).alias("roll_corr"))
+
 
-    Missing values keep the mean so far and age the weights. Groups are folded in one task each, so keys should be many.
+def rolling_bounds(df: DataFrame, order: list[str], by: list[str], first: int, last: int, made: dict) -> DataFrame:
+    """Statistics over the rows from `first` to `last`, counted from each row: forward-looking, centred or lagging windows.
+
+    made: name -> function of the window frame.
+    """
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(first, last)
+    return df.select("*", *[f(w).alias(n) for n, f in made.items()])
+
+
+def rolling_apply(df: DataFrame, column: str, order: list[str], by: list[str], rows: int, f, name: str = "roll_apply", min_periods: int | None = None) -> DataFrame:
+    """f of the array of present values among the last `rows` rows; the array holds no more than that."""
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(1 - rows, 0)
+    x = F.collect_list(column).over(w)
+    return df.select("*", F.when(F.size(x) >= (rows if min_periods is None else min_periods), f(x)).alias(name))
+
+
+def ewm_alpha(com: float | None = None, span: float | None = None, halflife: float | None = None, alpha: float | None = None) -> float:
+    """The decay of exponential weights from just one of its four parameters."""
+    given = [x for x in (com, span, halflife, alpha) if x is not None]
+    if len(given) != 1:
+        raise ValueError("give one of com, span, halflife and alpha")
+    if com is not None:
+        return 1 / (1 + com)
+    if span is not None:
+        return 2 / (span + 1)
+    return 1 - math.exp(-math.log(2) / halflife) if halflife is not None else alpha
+
+
+class _Decay:
+    """Exponentially weighted sums of one group in order: weights, means and the co-moment of two series."""
+
+    def __init__(self, alpha: float, adjust: bool):
+        self.keep, self.new, self.adjust = 1 - alpha, 1.0 if adjust else alpha, adjust
+        self.n = 0
+        self.w = self.w1 = self.w2 = self.x = self.y = self.cov = 0.0
+
+    def add(self, x: float | None, y: float | None) -> None:
+        if self.n:
+            self.w *= self.keep
+            self.w1 *= self.keep
+            self.w2 *= self.keep * self.keep
+        if x is None or y is None:
+            return
+        new = self.new if self.n else 1.0
+        self.n += 1
+        w = self.w + new
+        dx, dy = x - self.x, y - self.y
+        part = new / w
+        # the co-moment about the new means
+        self.cov = (self.w / w) * (self.cov + part * dx * dy)
+        self.x += part * dx
+        self.y += part * dy
+        self.w1, self.w2, self.w = self.w1 + new, self.w2 + new * new, w
+        if not self.adjust:
+            self.w1, self.w2, self.w = self.w1 / w, self.w2 / (w * w), 1.0
+
+    def unbiased(self) -> float | None:
+        gone = self.w1 * self.w1 - self.w2
+        return self.cov * self.w1 * self.w1 / gone if self.n > 1 and gone > 1e-300 else None
+
+
+def ewm(df: DataFrame, columns: list[str], order: list[str], by: list[str], alpha: float, stats: list[str], adjust: bool = True) -> DataFrame:
+    """Exponentially weighted statistics as ewm_<stat>: mean, var, std (vol) of one column, cov and corr of two.
+
+    Missing values keep what was so far and age the weights. A group is one fold in order: partitions are sorted and
+    folded batch by batch, in time that grows with the rows and in constant memory, however large a group is.
     """
-    rows = F.sort_array(F.collect_list(F.struct(*order, F.struct(*df.columns).alias("__row"), F.col(column).cast("double").alias("__v"))))
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"), F.array().cast("array<double>").alias("out"))
+    pair = columns if len(columns) == 2 else columns * 2
+    names = [f"ewm_{s}" for s in stats]
+    sides = [("x", "x"), ("y", "y"), ("x", "y")]
+    schema = StructType([*df.schema.fields, *[StructField(n, DoubleType()) for n in names]])
+
+    def run(batches):
+        state, last = None, None
+        for b in batches:
+            keys = list(zip(*(b.column(c).to_pylist() for c in by))) if by else [()] * b.num_rows
+            xs, ys = (b.column(c).cast("float64").to_pylist() for c in pair)
+            out: list[list] = [[] for _ in names]
+            for key, x, y in zip(keys, xs, ys):
+                if state is None or key != last:
+                    state, last = {s: _Decay(alpha, adjust) for s in sides}, key
+                x, y = (None if v is None or v != v else v for v in (x, y))
+                for s in sides:
+                    both = x is not None and y is not None
+                    state[s].add(*((x if s[0] == "x" else y, x if s[1] == "x" else y) if both or len(columns) == 1 else (None, None)))
+                m, var = state["x", "x"], state["x", "x"].unbiased()
+                made = {"mean": m.x if m.n else None, "var": var, "std": None if var is None else math.sqrt(max(0.0, var))}
+                made["vol"] = made["std"]
+                if "cov" in stats or "corr" in stats:
+                    cov, vy = state["x", "y"].unbiased(), state["y", "y"].unbiased()
+                    made["cov"] = cov
+                    made["corr"] = cov / math.sqrt(var * vy) if cov is not None and var and vy and var * vy > 0 else None
+                for o, s in zip(out, stats):
+                    o.append(made[s])
+            yield pa.record_batch([*b.columns, *[pa.array(o, pa.float64()) for o in out]], names=[*b.schema.names, *names])
+
+    placed = df.repartition(*by) if by else df.coalesce(1)
+    return placed.sortWithinPartitions(*by, *order).mapInArrow(run, schema)
 
-    def step(acc, x):
-        v = x["__v"]
-        s = acc["s"] * (1 - alpha) + F.coalesce(v, F.lit(0.0))
-        w = acc["w"] * (1 - alpha) + F.when(v.isNotNull(), 1.0).otherwise(0.0)
-        return F.struct(s.alias("s"), w.alias("w"), F.concat(acc["out"], F.array(F.when(w > 0, s / w))).alias("out"))
 
-    g = df.groupBy(*by).agg(rows.alias("r")).withColumn("m", F.aggregate("r", start, step, lambda a: a["out"]))
-    z = g.select(F.explode(F.arrays_zip(F.col("r").alias("r"), F.col("m").alias("m"))).alias("z"))
-    return z.select("z.r.__row.*", F.col("z.m").alias("ewm_mean"))
+def ewm_mean(df: DataFrame, column: str, order: list[str], by: list[str], alpha: float) -> DataFrame:
+    """Exponentially weighted mean with adjusted weights, as `ewm_mean`."""
+    return ewm(df, [column], order, by, alpha, ["mean"])
 
 
 def cumulative(df: DataFrame, column: str, order: list[str], by: list[str], stats: list[str]) -> DataFrame:
@@ -344,13 +486,35 @@ def concat(frames: list[DataFrame], keys: list[str] | None = None, join: str = "
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def crosstab(df: DataFrame, row: str, column: str, values: list, normalize: bool = False) -> DataFrame:
-    """Counts of column values per row value; normalize gives shares of all."""
+def concat_columns(frames: list[DataFrame], index: list[str], keys: list[str], join: str = "outer") -> DataFrame:
+    """Frames beside each other on their index; columns are named <key>_<column>. Index labels must be unique."""
+    named = [f.select(*index, *[F.col(c).alias(f"{k}_{c}") for c in f.columns if c not in index]) for f, k in zip(frames, keys)]
+    return reduce(lambda a, b: a.join(b, index, "full" if join == "outer" else "inner"), named)
+
+
+def crosstab(df: DataFrame, row: str, column: str, values: list, normalize: bool | str = False, margins: bool = False) -> DataFrame:
+    """Counts of column values per row value; normalize gives shares of all, or of the row (index) or the column (columns).
+
+    With margins a column `All` and, of string rows, a row `All`.
+    """
+    x = df.filter(F.col(row).isNotNull() & F.col(column).isin(values))
     wide = df.filter(F.col(row).isNotNull()).groupBy(row).pivot(column, values).count().fillna(0)
+    q = lambda v: F.col(f"`{v}`")
+    all_ = sum((q(v) for v in values), F.lit(0))
+    if margins:
+        sums = wide.agg(*[F.coalesce(F.sum(q(v)), F.lit(0)).alias(str(v)) for v in values]).select(F.lit("All").alias(row), *[q(v) for v in values])
+        wide = wide.unionByName(sums).withColumn("All", all_)
     if not normalize:
         return wide
-    n = df.filter(F.col(row).isNotNull() & F.col(column).isin(values)).count()
-    return wide.select(row, *[(F.col(f"`{v}`") / F.lit(max(n, 1))).alias(str(v)) for v in values])
+    shown = [*values, *(["All"] if margins else [])]
+    if normalize == "index":
+        return wide.select(row, *[F.try_divide(q(v), all_).alias(str(v)) for v in shown])
+    if normalize == "columns":
+        per = x.groupBy().pivot(column, values).count().fillna(0).first()
+        n = {**{v: (per[str(v)] if per else 0) for v in values}, "All": x.count() if margins else 0}
+        return wide.select(row, *[(q(v) / F.lit(max(n[v], 1))).alias(str(v)) for v in shown])
+    n = x.count()
+    return wide.select(row, *[(q(v) / F.lit(max(n, 1))).alias(str(v)) for v in shown])
 
 
 def factorize(df: DataFrame, column: str, order: str, name: str = "code") -> DataFrame:
@@ -374,9 +538,26 @@ def corr_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 # -- time
 
 
-def resample(df: DataFrame, at: str, rule: str, aggs: dict[str, Column], by: list[str] | None = None) -> DataFrame:
-    """Aggregates per time bucket (left closed, labelled by its start, `bucket`)."""
-    return df.groupBy(*(by or []), F.window(F.col(at), rule).start.alias("bucket")).agg(*[e.alias(n) for n, e in aggs.items()])
+def bucket(at: str, rule: str, closed: str = "left", label: str = "left", offset: str | None = None) -> Column:
+    """The time bucket of a row: closed on the left (a time on an edge belongs to the later bucket) or on the right.
+
+    Labelled by its start or its end; edges are multiples of the rule from the epoch, moved by `offset`.
+    """
+    t = F.col(at) if closed == "left" else F.col(at) - F.expr("INTERVAL 1 MICROSECOND")
+    w = F.window(t, rule, rule, offset) if offset else F.window(t, rule)
+    return w.start if label == "left" else w.end
+
+
+def resample(df: DataFrame, at: str, rule: str, aggs: dict[str, Column], by: list[str] | None = None, closed: str = "left", label: str = "left", offset: str | None = None) -> DataFrame:
+    """Aggregates per time bucket, as `bucket` (see there)."""
+    return df.groupBy(*(by or []), bucket(at, rule, closed, label, offset).alias("bucket")).agg(*[e.alias(n) for n, e in aggs.items()])
+
+
+def resample_transform(df: DataFrame, at: str, rule: str, made: dict, by: list[str] | None = None, **how) -> DataFrame:
+    """Rows with values computed over their bucket; made: name -> function of the bucket's window."""
+    x = df.withColumn("bucket", bucket(at, rule, **how))
+    w = Window.partitionBy(*(by or []), "bucket")
+    return x.select("*", *[f(w).alias(n) for n, f in made.items()])
 
 
 def upsample(df: DataFrame, at: str, every: str, by: list[str] | None = None, limits: tuple | None = None) -> DataFrame:
