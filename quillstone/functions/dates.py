@@ -99,3 +99,77 @@ def easter(year: Column) -> Column:
     m = q(a + 11 * h + 22 * l, 451)
     n = h + l - 7 * m + 114
     return F.make_date(year, q(n, 31), n % 31 + 1)
+
+
+def period_edge(c: Column, unit: str, n: int = 1, end: bool = True) -> Column:
+    """n ends (or begins) of month, quarter, year or week (Sunday ends it) on; n < 0 goes back.
+
+    A date that is on an edge moves by whole periods; any other first goes to the next edge (the one before, if n < 0).
+    """
+    d = F.to_date(c)
+    months = {"month": 1, "quarter": 3, "year": 12}.get(unit)
+    begin = F.trunc(d, unit)
+    move = lambda x, k: F.add_months(x, k * months) if months else F.date_add(x, k * 7)
+    last = F.date_sub(move(begin, F.lit(1)), 1)
+    if end:
+        k = F.when(d == last, F.lit(n)).otherwise(F.lit(n - 1 if n > 0 else n))
+        return F.date_sub(move(begin, k + 1), 1)
+    k = F.when(d == begin, F.lit(n)).otherwise(F.lit(n if n > 0 else n + 1))
+    return move(begin, k)
+
+
+def semi_month_end(c: Column) -> Column:
+    """The next 15th or last day of a month after the date."""
+    d = F.to_date(c)
+    return F.when(F.dayofmonth(d) < 15, F.date_add(F.trunc(d, "month"), 14)).when(d < F.last_day(d), F.last_day(d)).otherwise(F.date_add(d, 15))
+
+
+def nth_weekday(year: Column, month: int, weekday: int, n: int) -> Column:
+    """The n-th weekday (0 is Monday) of a month, counted from its end if n < 0."""
+    first = F.make_date(year, F.lit(month), F.lit(1))
+    if n > 0:
+        return F.date_add(first, ((F.lit(weekday) - F.weekday(first) + 7) % 7 + (n - 1) * 7).cast("int"))
+    last = F.last_day(first)
+    return F.date_sub(last, ((F.weekday(last) - F.lit(weekday) + 7) % 7 + (-n - 1) * 7).cast("int"))
+
+
+def observed(c: Column) -> Column:
+    """The Friday before a Saturday, the Monday after a Sunday."""
+    return F.when(F.weekday(c) == 5, F.date_sub(c, 1)).when(F.weekday(c) == 6, F.date_add(c, 1)).otherwise(c)
+
+
+def federal_holidays(year: Column) -> Column:
+    """Array of the observed holidays of the United States in a year, by the rules that hold since 2021."""
+    on = lambda m, d: observed(F.make_date(year, F.lit(m), F.lit(d)))
+    return F.array(
+        on(1, 1), nth_weekday(year, 1, 0, 3), nth_weekday(year, 2, 0, 3), nth_weekday(year, 5, 0, -1), on(6, 19), on(7, 4),
+        nth_weekday(year, 9, 0, 1), nth_weekday(year, 10, 0, 2), on(11, 11), nth_weekday(year, 11, 3, 4), on(12, 25),
+    )
+
+
+def fiscal_year_end(year: Column, month: int, weekday: int, nearest: bool = False) -> Column:
+    """The end of a year of 52 or 53 weeks: the last such weekday of the month, or the one nearest to the month's end."""
+    last = nth_weekday(year, month, weekday, -1)
+    if not nearest:
+        return last
+    end = F.last_day(F.make_date(year, F.lit(month), F.lit(1)))
+    return F.when(F.date_diff(end, last) <= 3, last).otherwise(F.date_add(last, 7))
+
+
+def seconds_of(c: Column) -> Column:
+    """Seconds of a duration such as `2 days 03:04:05.5` or `-1 days`; null if it is none."""
+    part = lambda g: F.regexp_extract(c, r"^\s*(?:(-?\d+) days?)?\s*(?:(\d+):(\d\d):(\d\d(?:\.\d+)?))?\s*$", g)
+    n = lambda g: F.coalesce(F.nullif(part(g), F.lit("")).cast("double"), F.lit(0.0))
+    ok = (part(1) != "") | (part(2) != "")
+    return F.when(ok, n(1) * 86_400 + n(2) * 3_600 + n(3) * 60 + n(4))
+
+
+def time_of(c: Column) -> Column:
+    """Time of day as HH:mm:ss from `H:M`, `H:M:S` or `H:M AM`; null if it is none."""
+    part = lambda g: F.regexp_extract(c, r"(?i)^\s*(\d{1,2}):(\d\d)(?::(\d\d))?\s*([ap]m)?\s*$", g)
+    h = F.nullif(part(1), F.lit("")).cast("int")
+    half = F.lower(part(4))
+    hour = F.when(half == "pm", h % 12 + 12).when(half == "am", h % 12).otherwise(h)
+    ok = (hour < 24) & (F.nullif(part(2), F.lit("")).cast("int") < 60)
+    second = F.when(part(3) == "", F.lit("00")).otherwise(part(3))
+    return F.when(ok, F.concat_ws(":", F.lpad(hour.cast("string"), 2, "0"), part(2), second))

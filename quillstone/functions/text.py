@@ -152,3 +152,20 @@ def wrap(width: int):
         return s.map(lambda x: None if x is None else "\n".join(textwrap.wrap(x, width)))
 
     return f
+
+
+def cat(columns: list[Column], sep: str = "", na_rep: str | None = None) -> Column:
+    """Texts put together; with a missing one the result is missing, unless na_rep stands in for it."""
+    return F.concat(*[x for i, c in enumerate(columns) for x in ([F.lit(sep)] if i else []) + [c if na_rep is None else F.coalesce(c, F.lit(na_rep))]])
+
+
+def extractall(df: DataFrame, column: str, pattern: str, match: str = "match", value: str = "value") -> DataFrame:
+    """A row for every match of the first group: the row's columns, the number of the match and the text."""
+    return df.select("*", F.posexplode(F.regexp_extract_all(column, F.lit(pattern), F.lit(1))).alias(match, value))
+
+
+def wrap(c: Column, width: int) -> Column:
+    """Lines of at most `width` letters, broken at blanks; longer words stand alone."""
+    words = F.split(F.trim(c), r"\s+")
+    fold = lambda acc, w: F.when(F.length(acc["line"]) == 0, F.struct(acc["done"].alias("done"), w.alias("line"))).when(F.length(acc["line"]) + 1 + F.length(w) <= width, F.struct(acc["done"].alias("done"), F.concat(acc["line"], F.lit(" "), w).alias("line"))).otherwise(F.struct(F.concat(acc["done"], acc["line"], F.lit("\n")).alias("done"), w.alias("line")))
+    return F.aggregate(words, F.struct(F.lit("").alias("done"), F.lit("").alias("line")), fold, lambda acc: F.concat(acc["done"], acc["line"]))

@@ -237,7 +237,7 @@ def rolling_pair(df: DataFrame, a: str, b: str, order: list[str], by: list[str],
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding if rows is None else 1 - rows, 0)
     n = F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).over(w)
     ok = (n >= F.lit(min_periods if min_periods is not None else (rows or 1))) & (n > 1)
-    return df.select("*", F.when(ok, F.covar_samp(a, b).over(w)).alias("roll_cov"), F.when(ok, F.corr(a, b).over(w)).alias("roll_corr"))
+    return df.select("*", F.when(ok, F.covar_samp(a, b).over(w)).alias("roll_cov"), F.when(ok, pearson(a, b, w)).alias("roll_corr"))
 
 
 def rolling_bounds(df: DataFrame, order: list[str], by: list[str], first: int, last: int, made: dict) -> DataFrame:
@@ -356,6 +356,15 @@ def cumulative(df: DataFrame, column: str, order: list[str], by: list[str], stat
 # -- statistics
 
 
+def pearson(a: str, b: str, over=None) -> Column:
+    """Correlation over the rows where both are present; null where a column doesn't vary (corr would divide by zero)."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+    made = F.covar_samp(x, y), F.stddev_samp(x), F.stddev_samp(y)
+    cov, sx, sy = (m if over is None else m.over(over) for m in made)
+    return F.try_divide(cov, sx * sy)
+
+
 def _skew(population: Column, n: Column) -> Column:
     return F.when(n > 2, population * F.sqrt(n * (n - 1)) / F.when(n > 2, n - 2))
 
@@ -401,7 +410,7 @@ def spearman(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     """(by, spearman): correlation of average ranks over rows where both are present."""
     x = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     x = rank(rank(x, a, "average", by, name="__ra"), b, "average", by, name="__rb")
-    return x.groupBy(*by).agg(F.corr("__ra", "__rb").alias("spearman"))
+    return x.groupBy(*by).agg(pearson("__ra", "__rb").alias("spearman"))
 
 
 def value_counts(df: DataFrame, column: str, normalize: bool = False, dropna: bool = True) -> DataFrame:
@@ -531,7 +540,7 @@ def transpose(df: DataFrame, index: str) -> DataFrame:
 
 def corr_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, corr) of all pairs of columns, in one pass."""
-    got = df.agg(*[F.corr(a, b).alias(f"{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j])
+    got = df.agg(*[pearson(a, b).alias(f"{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j])
     return got.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{i}_{j}").alias("corr")) for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j])).alias("x")).select("x.*")
 
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quillstone.operators import joins
-from quillstone.operators.frame import global_lag, position
+from quillstone.operators.frame import global_lag, pearson, position
 from quillstone.session import materialize
 
 #: Most groups that are sent to every task, and most blocks of a group (their pairs are counted in one task).
@@ -89,7 +89,7 @@ def order_facts(df: DataFrame, column: str, order: str) -> DataFrame:
 def autocorr(df: DataFrame, column: str, order: str, by: list[str], lag: int = 1) -> DataFrame:
     """(by, autocorr): correlation with the value `lag` rows before."""
     x = df.withColumn("__p", F.lag(column, lag).over(Window.partitionBy(*by).orderBy(order)))
-    return x.groupBy(*by).agg(F.corr(column, "__p").alias("autocorr"))
+    return x.groupBy(*by).agg(pearson(column, "__p").alias("autocorr"))
 
 
 def inversions(q: np.ndarray) -> int:
@@ -241,6 +241,23 @@ def rename_categories(dim: DataFrame, names: dict) -> DataFrame:
     return dim.withColumn("label", F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("label")], F.col("label")))
 
 
+def set_categories(dim: DataFrame, labels: list[str]) -> DataFrame:
+    """(label, code) of the given labels in their order: reorders, adds and removes; values without one get code -1."""
+    return dim.sparkSession.createDataFrame([(x, i) for i, x in enumerate(labels)], "label string, code long")
+
+
+def remove_unused(dim: DataFrame, df: DataFrame, column: str) -> DataFrame:
+    """The categories that occur, numbered anew in their order."""
+    used = dim.join(df.select(F.col(column).alias("label")).distinct(), "label", "left_semi")
+    return position(used, ["code"], "__c").select("label", F.col("__c").cast("long").alias("code"))
+
+
+def category_bounds(df: DataFrame, column: str, dim: DataFrame) -> DataFrame:
+    """(least, greatest): first and last category in their order among those that occur."""
+    x = df.join(dim.select(F.col("label").alias(column), "code"), column)
+    return x.agg(F.min_by(column, "code").alias("least"), F.max_by(column, "code").alias("greatest"))
+
+
 # -- intervals
 
 
@@ -277,6 +294,21 @@ def business_date_range(spark: SparkSession, start: str, end: str, holidays: lis
     return d.filter((F.weekday("ts") < 5) & ~F.date_format("ts", "yyyy-MM-dd").isin(holidays or [""]))
 
 
+def timedelta_range(spark: SparkSession, start: float, end: float, step: float) -> DataFrame:
+    """(seconds): regular durations from start to end, both included."""
+    return spark.range(int((end - start) // step) + 1).select((F.lit(float(start)) + F.col("id") * step).alias("seconds"))
+
+
+def period_range(spark: SparkSession, start: str, end: str, unit: str) -> DataFrame:
+    """(period, starts, ends): years, quarters, months or days from one that holds start to one that holds end."""
+    from quillstone.functions import dates
+
+    step = {"year": "1 YEAR", "quarter": "3 MONTH", "month": "1 MONTH", "day": "1 DAY"}[unit]
+    first, last = F.date_trunc(unit, F.lit(start).cast("timestamp_ntz")).cast("date"), F.lit(end).cast("date")
+    x = spark.range(1).select(F.explode(F.sequence(first, last, F.expr(f"INTERVAL {step}"))).alias("starts"))
+    return x.select(dates.period(F.col("starts"), unit).alias("period"), "starts", F.date_sub((F.col("starts") + F.expr(f"INTERVAL {step}")).cast("date"), 1).alias("ends"))
+
+
 def interval_range(spark: SparkSession, start: float, end: float, step: float) -> DataFrame:
     """(left, right) of adjoining intervals."""
     n = int(round((end - start) / step))
