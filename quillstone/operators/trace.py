@@ -290,3 +290,25 @@ def object_dependence(items: DataFrame, events: DataFrame, deps: DataFrame, reso
     reach = reachable(edges, items.select("run_id", F.col("item_id").alias("node"))).select("run_id", "root", "node")
     reads = enveloping_items(events.filter((F.col("kind") == "read") & F.col("obj_id").isNotNull()).select("run_id", "obj_id", F.col("ts").alias("t")), items, width).select("run_id", F.col("item_id").alias("node"), "obj_id").distinct()
     return reach.join(reads, ["run_id", "node"]).groupBy("run_id", F.col("root").alias("item_id")).agg(F.array_sort(F.collect_set("obj_id")).alias("obj_ids"))
+
+
+def merge_ranges(ranges: DataFrame, copies: DataFrame) -> DataFrame:
+    """Live ranges joined where one is only handed on: at `x = y` the range of x continues that of y if y is not used later.
+
+    ranges: as live_ranges. copies: (run_id, scope_id, def_seq, access_seq), the definition of x and the access to y in
+    one assignment. Returns (run_id, name, scope_id, range_no, root_seq), root_seq being the start of the first range of
+    the chain. A range continues at most one and is continued by at most one; chains are shortened by pointer doubling.
+    """
+    key = ["run_id", "scope_id"]
+    a = ranges.select(*key, F.col("end_seq").alias("access_seq"), F.col("start_seq").alias("before"))
+    up = copies.select(*key, "def_seq", "access_seq").join(a, [*key, "access_seq"]).groupBy(*key, "def_seq").agg(F.min("before").alias("before"))
+    # a definition may serve as an access of another name at the same time; what is defined there is one range
+    link = ranges.select(*key, "start_seq").distinct().join(up.withColumnRenamed("def_seq", "start_seq"), [*key, "start_seq"], "left")
+    link = materialize(link.select(*key, "start_seq", F.coalesce(F.when(F.col("before") < F.col("start_seq"), F.col("before")), F.col("start_seq")).alias("root")), "mrg")
+    for _ in range(64):  # a chain of 2^64 ranges at most
+        to = link.select(*key, F.col("start_seq").alias("root"), F.col("root").alias("next"))
+        now = materialize(link.join(to, [*key, "root"]).select(*key, "start_seq", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "mrg")
+        link = now.drop("moved")
+        if now.filter("moved").isEmpty():
+            break
+    return ranges.join(link, [*key, "start_seq"]).select("run_id", "name", "scope_id", "range_no", F.col("root").alias("root_seq"))
