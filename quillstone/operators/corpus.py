@@ -126,19 +126,24 @@ def pairs_within(df: DataFrame, group: str, item: str, span: int) -> DataFrame:
 
 
 def negatives(df: DataFrame, group: str, item: str, per_item: int, seed: int = 0) -> DataFrame:
-    """(item, other, turn): for each item `per_item` items of other groups, drawn by shifting a shuffled order.
+    """(item, other, turn): for each item `per_item` items of other groups, all different, as far as there are any.
 
-    The k-th negative is the item k * step places on in the shuffle; where that is of the own group there is none for
-    that turn. One ordered pass, no product of groups.
+    Groups are put one behind the other and items shuffled within them. The k-th negative is that at the item's own place
+    among all items of other groups (its place in the shuffled frame), moved on by k - 1 steps: the other groups are the
+    order without the item's own stretch, so that no turn is lost whatever the groups' sizes. No product of groups.
     """
-    x = position(df.withColumn("__h", F.xxhash64(F.lit(seed), F.col(item))), ["__h", item], "__p").drop("__h")
+    md = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(item).cast("string")))
+    x = position(df.select(group, item).filter(F.col(group).isNotNull()).withColumn("__h", md), [group, "__h", item], "__p")
+    x = position(x, ["__h", item], "__r")
     n = x.count()
-    if not n:
-        return x.select(F.col(item), F.col(item).alias("other"), F.lit(0).alias("turn")).limit(0)
-    step = max(1, n // (per_item + 1))
-    a = x.select(F.col(item), F.col(group).alias("__g"), F.col("__p"), F.explode(F.sequence(F.lit(1), F.lit(per_item))).alias("turn")).withColumn("__to", (F.col("__p") + F.col("turn") * step) % n)
-    b = x.select(F.col(item).alias("other"), F.col(group).alias("__og"), F.col("__p").alias("__to"))
-    return a.join(b, "__to").filter(F.col("__g") != F.col("__og")).select(item, "other", "turn")
+    sizes = x.groupBy(group).agg(F.count(F.lit(1)).alias("__n"), F.min("__p").alias("__first"))
+    a = x.join(sizes, group).withColumn("__others", F.lit(n) - F.col("__n")).filter("__others > 0")
+    turns = F.least(F.lit(per_item).cast("long"), F.col("__others"))
+    step = F.greatest(F.lit(1).cast("long"), F.floor(F.col("__others") / turns))
+    a = a.select(group, item, "__r", "__n", "__first", "__others", step.alias("__step"), F.explode(F.sequence(F.lit(1).cast("long"), turns)).alias("turn"))
+    at = F.pmod(F.col("__r") + (F.col("turn") - 1) * F.col("__step"), F.col("__others"))
+    a = a.select(item, F.col("turn").cast("int").alias("turn"), F.when(at < F.col("__first"), at).otherwise(at + F.col("__n")).alias("__to"))
+    return a.join(x.select(F.col(item).alias("other"), F.col("__p").alias("__to")), "__to").select(item, "other", "turn")
 
 
 # -- reports

@@ -109,7 +109,11 @@ def within_class_pairs(spark: SparkSession, d: str) -> DataFrame:
     return corpus.pairs_within(table(spark, d, "supplier", "s_nationkey", "s_suppkey"), "s_nationkey", "s_suppkey", 3)
 
 
-@query()
+_SHUFFLE = "SELECT label, vec_id, md5('0:' || vec_id) AS h, row_number() OVER (ORDER BY label, md5('0:' || vec_id), vec_id) - 1 AS p, row_number() OVER (ORDER BY md5('0:' || vec_id), vec_id) - 1 AS r, count(*) OVER () - count(*) OVER (PARTITION BY label) AS o, count(*) OVER (PARTITION BY label) AS n FROM embeddings WHERE label IS NOT NULL"
+
+
+@query(f"""WITH x AS ({_SHUFFLE}), f AS (SELECT label, min(p) AS first FROM x GROUP BY 1), t AS (SELECT vec_id, k AS turn, (r + (k - 1) * greatest(1, o // least(3, o))) % o AS a, first, n FROM x JOIN f USING (label), (VALUES (1), (2), (3)) v(k) WHERE k <= o)
+SELECT t.vec_id, x.vec_id AS other, CAST(turn AS INT) AS turn FROM t JOIN x ON x.p = CASE WHEN a < first THEN a ELSE a + t.n END""")
 def capped_negatives(spark: SparkSession, d: str) -> DataFrame:
     return corpus.negatives(table(spark, d, "embeddings", "vec_id", "label"), "label", "vec_id", 3)
 
@@ -197,7 +201,7 @@ def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def cosine_topk_indexed(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings", "vec_id", "embedding")
-    return search.approximate_top_k(v.filter(F.col("vec_id") % 50 == 0), v, "vec_id", "embedding", 64, 10)
+    return search.approximate_top_k(v.filter(F.col("vec_id") % 50 == 0), v, "vec_id", "embedding", 10)
 
 
 _BM25 = r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([a-z0-9_]+)')) AS term FROM documents WHERE text IS NOT NULL), n AS (SELECT doc_id, count(*) AS n_terms FROM t GROUP BY 1), i AS (SELECT term, doc_id, count(*) AS tf FROM t GROUP BY 1, 2),

@@ -140,7 +140,7 @@ def stream_dependencies(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "purchase", "write").when(F.col("event_type") == "view", "read")
     e = s.select((F.col("user_id") % 5).alias("obj_id"), F.col("event_id").alias("seq"), kind.alias("kind")).filter("kind is not null")
     name = f"deps_{uuid.uuid4().hex[:10]}"
-    return streams.run_once(streams.dependencies(e), name, f"{scratch_dir(spark)}/{name}")
+    return streams.run_once(streams.dependencies(e), f"{scratch_dir(spark)}/{name}-out", f"{scratch_dir(spark)}/{name}")
 
 
 @query("SELECT date_trunc('hour', ts) AS bucket, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2")
@@ -148,5 +148,5 @@ def stream_hourly(spark: SparkSession, d: str) -> DataFrame:
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     s = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
     name = f"hours_{uuid.uuid4().hex[:10]}"
-    out = streams.run_once(streams.tumbling(s, "ts", "1 hour", "1 hour", ["event_type"], "value"), name, f"{scratch_dir(spark)}/{name}", "complete")
+    out = streams.run_once(streams.tumbling(s, "ts", "1 hour", "1 hour", ["event_type"], "value"), f"{scratch_dir(spark)}/{name}-out", f"{scratch_dir(spark)}/{name}", "complete")
     return out.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "event_type", "n", F.round("total", 3).alias("total"))

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(master: str | None = None, cores: int = 8, shuffle_partitions: int | None = None) -> SparkSession:
+def build_session(master: str | None = None, cores: int = 8, shuffle_partitions: int | None = None, shared: str | None = None) -> SparkSession:
     """A session with the settings all results are defined under: UTC, ANSI, adaptive plans.
 
     On a cluster the master and the sizes come from spark-submit; only settings that change results or let the
@@ -30,13 +30,20 @@ def build_session(master: str | None = None, cores: int = 8, shuffle_partitions:
         "spark.ui.showConsoleProgress": "false",
     }.items():
         b = b.config(k, v)
+    if shared:
+        b = b.config("spark.checkpoint.dir", shared)
     return b.getOrCreate()
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, a local one only where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir of the session.
+
+    Where that is unset, a folder of this machine, which only a local master can do with; any other raises.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = getattr(scratch_dir, "own", None)
         if not found:
             found = scratch_dir.own = tempfile.mkdtemp(prefix="quillstone-")

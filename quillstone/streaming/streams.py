@@ -32,14 +32,18 @@ def sessions(stream: DataFrame, at: str, gap: str, late: str, keys: list[str]) -
     return g.agg(F.count(F.lit(1)).alias("n")).select(F.col("session_window.start").alias("started"), F.col("session_window.end").alias("ended"), *keys, "n")
 
 
-def dependencies(stream: DataFrame) -> DataFrame:
+def dependencies(stream: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """(obj_id, src_seq, dst_seq): each read with the last write of its object before it.
 
     Input: obj_id long, seq long, kind string, in order of seq across batches. State is one number per object; a record
-    older than the newest seen of its object is judged by the writes that have come so far.
+    older than the newest seen of its object is judged by the writes that have come so far. With `idle_ms`, an object
+    without records for so long is forgotten.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         rows = []
         for s, k in sorted((s, k) for b in batches for s, k in zip(b.seq, b.kind)):
@@ -49,16 +53,26 @@ def dependencies(stream: DataFrame) -> DataFrame:
                 rows.append((key[0], last, int(s)))
         if last is not None:
             state.update((last,))
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(rows, columns=["obj_id", "src_seq", "dst_seq"]).astype("int64")
 
-    return stream.groupBy("obj_id").applyInPandasWithState(step, "obj_id long, src_seq long, dst_seq long", "last long", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("obj_id").applyInPandasWithState(step, "obj_id long, src_seq long, dst_seq long", "last long", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """All that is there now, run to its end into a table in memory: for tests and small results."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """All that is there now, run to its end into Parquet files under `path`, which are read back.
+
+    Nothing is collected at the driver. In append mode each batch is written exactly once; in complete mode each batch
+    replaces what is there.
+    """
+    w = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        q = w.format("parquet").option("path", path).start()
+    else:
+        q = w.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str):

@@ -155,7 +155,7 @@ def test_streams_equal_batch(spark, tmp_path):
     for k in range(3):
         spark.createDataFrame(rows[k * 20 : k * 20 + 20], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     src = lambda: streams.read_files(spark, str(tmp_path / "in"), schema, 100)
-    got = sorted((r.obj_id, r.src_seq, r.dst_seq) for r in streams.run_once(streams.dependencies(src()), "t_deps", str(tmp_path / "c1")).collect())
+    got = sorted((r.obj_id, r.src_seq, r.dst_seq) for r in streams.run_once(streams.dependencies(src()), str(tmp_path / "o1"), str(tmp_path / "c1")).collect())
     last, want = {}, []
     for i, _, o, k, _ in rows:
         if k == "write":
@@ -163,11 +163,11 @@ def test_streams_equal_batch(spark, tmp_path):
         elif o in last:
             want.append((o, last[o], i))
     assert got == sorted(want)
-    hours = streams.run_once(streams.tumbling(src(), "ts", "1 hour", "1 hour", ["kind"], "value"), "t_hours", str(tmp_path / "c2"), "complete")
+    hours = streams.run_once(streams.tumbling(src(), "ts", "1 hour", "1 hour", ["kind"], "value"), str(tmp_path / "o2"), str(tmp_path / "c2"), "complete")
     assert sum(r.n for r in hours.collect()) == 60
     doubled = spark.createDataFrame(rows + rows[:10], schema)
     doubled.write.parquet(str(tmp_path / "in2"))
-    once = streams.run_once(streams.keep_once(streams.read_files(spark, str(tmp_path / "in2"), schema), ["seq"], "ts", "1 day"), "t_once", str(tmp_path / "c3"))
+    once = streams.run_once(streams.keep_once(streams.read_files(spark, str(tmp_path / "in2"), schema), ["seq"], "ts", "1 day"), str(tmp_path / "o3"), str(tmp_path / "c3"))
     assert once.count() == 60
     q = streams.append_to(src(), str(tmp_path / "out"), str(tmp_path / "c4"))
     q.awaitTermination()
