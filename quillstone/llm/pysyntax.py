@@ -12,6 +12,8 @@ the caller's exact check decides.
 from __future__ import annotations
 
 import re
+import unicodedata
+from functools import lru_cache
 
 #: The keywords of the language with the letters that stand for them here.
 KEYWORDS = {
@@ -39,11 +41,28 @@ _NUMBER = re.compile(
     r"(?:[0-9](?:_?[0-9])*\.(?:[0-9](?:_?[0-9])*)?|\.[0-9](?:_?[0-9])*)(?:[eE][+-]?[0-9](?:_?[0-9])*)?|[0-9](?:_?[0-9])*[eE][+-]?[0-9](?:_?[0-9])*)\Z"
 )
 _FSTRING = re.compile(r"(?<!\w)(?:[fF][rR]?|[rR][fF])(?=['\"])")
-_BAD_ESCAPE = re.compile(r"(?<!\\)(?:\\\\)*\\(?:x(?![0-9a-fA-F]{2})|u(?![0-9a-fA-F]{4})|U(?!000[0-9a-fA-F]{5}|0010[0-9a-fA-F]{4})|N(?!\{))")
+_BAD_ESCAPE = re.compile(r"(?<!\\)(?:\\\\)*\\(?:x(?![0-9a-fA-F]{2})|u(?![0-9a-fA-F]{4})|U(?!000[0-9a-fA-F]{5}|0010[0-9a-fA-F]{4})|N(?!\{[^{}]+\}))")
+_NAMED = re.compile(r"(?<!\\)(?:\\\\)*\\N\{([^{}]+)\}")
 _BAD_BYTES_ESCAPE = re.compile(r"(?<!\\)(?:\\\\)*\\x(?![0-9a-fA-F]{2})")
 
 #: Most line verdicts and token classes that a worker keeps.
 KEEP = 200_000
+
+
+def _bad_escape(body: str) -> bool:
+    """Whether a text has an escape of wrong form, or one that names no character."""
+    if _BAD_ESCAPE.search(body):
+        return True
+    return "\\N" in body and not all(map(_is_character, _NAMED.findall(body)))
+
+
+@lru_cache(maxsize=4096)
+def _is_character(name: str) -> bool:
+    try:
+        return len(unicodedata.lookup(name)) == 1  # a named sequence is no character
+    except KeyError:
+        return False
+
 #: Deepest nesting of brackets, as in the language's own tokenizer, and most digits of an integer.
 DEEPEST, DIGITS = 200, 4300
 
@@ -73,7 +92,7 @@ class Classes(dict):
             prefix, body = t[:start].lower(), t[start:]
             if "b" in prefix:
                 return "E" if not body.isascii() or "r" not in prefix and "\\" in body and _BAD_BYTES_ESCAPE.search(body) else "b"
-            return "E" if "r" not in prefix and "\\" in body and _BAD_ESCAPE.search(body) else "s"
+            return "E" if "r" not in prefix and "\\" in body and _bad_escape(body) else "s"
         if first.isdigit() and first.isascii() or first == "." and len(t) > 1 and t != "...":
             return "0" if _NUMBER.match(t) and (len(t) <= DIGITS) else "E"
         if t.isidentifier():
@@ -850,7 +869,7 @@ def _fstring(src: str, p: int, raw: bool, spec_of: str = "") -> tuple[int, list[
     while p < n:
         c = src[p]
         if src.startswith(quote, p):
-            if not raw and not spec_of and _BAD_ESCAPE.search(src[lit:p]):
+            if not raw and not spec_of and _bad_escape(src[lit:p]):
                 errors.append("bad escape")
             return (p, errors) if spec_of else (p + len(quote), errors)
         if c == "\n" and len(quote) == 1:

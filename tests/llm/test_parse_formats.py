@@ -112,3 +112,17 @@ def test_copies_equal_brute_force(spark, hot):
     assert {tuple(r) for r in groups.collect()} == {(100, 12), (1, 2), (7, 2)}
     assert sorted(tuple(r) for r in members.collect()) == sorted([(100, 100 + i) for i in range(12)] + [(1, 1), (1, 2), (7, 7), (7, 8)])
     assert formats.copy_groups(df.limit(0), "rec_id", "code")[1].collect() == []
+
+
+@pytest.mark.parametrize("code", [r"'\N{foo}'", r"'\N{BULLET}'", r"'\N{bullet}'", r"r'\N{foo}'", r"b'\N{foo}'", r"f'\N{foo}'", r"'\\N{foo}'", r"f'{x}\N{DASH}'", r"f'{x}\N{EM DASH}'", r"'\N{KEYCAP DIGIT ONE}'", r"'\N{}'", r"'\N{BULLET'", r"'\\\N{foo}'"])
+def test_named_escapes_as_python_has_them(code):
+    import warnings
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        try:
+            compile(code, "", "exec")
+            valid = True
+        except SyntaxError:
+            valid = False
+    assert (not parse.python_errors(code)) == valid
