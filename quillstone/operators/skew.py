@@ -7,14 +7,16 @@ pre-aggregated where they lie, so that each task sends one row per heavy key.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Bound on the heavy candidates that are broadcast; a key that holds the share `phi` is always among 1 / phi of them.
+#: Heavy candidates, at most 4 / (3 phi), are broadcast up to so many, and joined by a shuffle beyond.
 MAX_CANDIDATES = 10_000
+_HOLDS_ROWS = re.compile(r"\b(?:collect_list|collect_set|array_agg|percentile|median|mode|listagg|string_agg)\(", re.I)
 #: White space as Unicode has it, for trimming (Java's `\s` alone knows only ASCII).
 _SPACE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
@@ -55,10 +57,11 @@ def collect_heavy(df: DataFrame, key: str, phi: float, total: int | None = None)
         yield pa.record_batch([pa.array([*counters], pa.string()), pa.array([*counters.values()], pa.int64())], names=["heavy_key", "seen"])
 
     merged = df.select(F.col(key).alias("heavy_key")).mapInArrow(sketch, "heavy_key string, seen long").groupBy("heavy_key").agg(F.sum("seen").alias("seen"))
-    found = [r[0] for r in merged.filter(F.col("seen") >= total * phi * 0.75).limit(MAX_CANDIDATES + 1).collect()]
-    if len(found) > MAX_CANDIDATES:
-        raise ValueError(f"phi={phi} admits more than {MAX_CANDIDATES} heavy keys; they would not be broadcast safely")
-    return found
+    return [r[0] for r in merged.filter(F.col("seen") >= total * phi * 0.75).collect()]
+
+
+def _few(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= MAX_CANDIDATES else df
 
 
 def heavy_keys(df: DataFrame, key: str, phi: float) -> DataFrame:
@@ -69,7 +72,7 @@ def heavy_keys(df: DataFrame, key: str, phi: float) -> DataFrame:
     spark = df.sparkSession
     total = df.count()
     found = collect_heavy(df, key, phi, total)
-    small = F.broadcast(spark.createDataFrame([(x,) for x in found], f"{key} string"))
+    small = _few(spark.createDataFrame([(x,) for x in found], f"{key} string"), len(found))
     counted = df.select(key).join(small, key).groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
     return counted.filter(F.col("n_rows") >= F.lit(phi) * F.lit(float(total)))
 
@@ -79,14 +82,18 @@ def aggregate_skewed(df: DataFrame, key: str, aggs: dict[str, Column], phi: floa
 
     Heavy keys (share `phi` or more): broadcast join with the candidates, grouped with a partial aggregate per
     task. Others: ordinary shuffle. Both parts are unioned; every key is in just one. Null keys are left out.
-    Any aggregate works; those Spark can't pre-aggregate should not be used on heavy keys.
+    Aggregates whose state holds all rows of a key (collect_list, percentile and the like) gain nothing from partial
+    aggregation: a heavy key would meet in one task after all, so they raise ValueError.
     """
+    for n, e in aggs.items():
+        if _HOLDS_ROWS.search(str(e)):
+            raise ValueError(f"{n} gathers all rows of a key")
     spark = df.sparkSession
     schema = df.schema[key].dataType
     tagged = df.filter(F.col(key).isNotNull())
     names = collect_heavy(tagged.select(F.col(key).cast("string").alias(key)), key, phi)
     small = spark.createDataFrame([(x,) for x in names], "qs_key string").select(F.col("qs_key").cast(schema).alias(key))
     cols = [e.alias(n) for n, e in aggs.items()]
-    heavy = tagged.join(F.broadcast(small), key).groupBy(key).agg(*cols)
-    light = tagged.join(F.broadcast(small), key, "left_anti").groupBy(key).agg(*cols)
+    heavy = tagged.join(_few(small, len(names)), key).groupBy(key).agg(*cols)
+    light = tagged.join(_few(small, len(names)), key, "left_anti").groupBy(key).agg(*cols)
     return heavy.unionByName(light)
