@@ -60,11 +60,12 @@ def materialize(df: DataFrame, name: str = "part") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/quillstone-{os.getpid()}-{uuid.uuid4().hex[:12]}-{name}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is still there."""
     if path.startswith("file:/"):
         shutil.rmtree("/" + path[5:].lstrip("/"), ignore_errors=True)
         return
