@@ -110,6 +110,7 @@ def stack_aggregates(spark: SparkSession, d: str) -> DataFrame:
     return g.unpivot(["o_custkey"], ["n", "total"], "kind", "v")
 
 
-@query()
+@query("SELECT user_id, round(sum(sign((a.event_id - b.event_id) * (a.value - b.value))) / sqrt(sum(CASE WHEN a.event_id <> b.event_id THEN 1.0 ELSE 0 END) * sum(CASE WHEN a.value <> b.value THEN 1.0 ELSE 0 END)), 9) AS kendall FROM events a JOIN events b USING (user_id) WHERE a.event_id < b.event_id GROUP BY 1")
 def kendall_tau(spark: SparkSession, d: str) -> DataFrame:
-    return lb.kendall(table(spark, d, "events", "user_id", "event_id", "value"), "event_id", "value", ["user_id"])
+    x = lb.kendall(table(spark, d, "events", "user_id", "event_id", "value"), "event_id", "value", ["user_id"])
+    return x.select("user_id", F.round("kendall", 9).alias("kendall"))
